@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from lumicat.llm.common import byte_chunks, materialise
 
-DEPTH = 4
+DEPTH = 5
 EDGE = 0xFF
-MAX_PAIRS = 1_500_000
+MAX_PAIRS = 3_000_000
 HEAD = 100_000
 END_TOKEN = b" "  # no word holds a blank
 FOLDS, HELD_OUT = 7, 2
@@ -115,30 +115,25 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Per depth: sorted node keys (context bytes, then decisions so far), and what a path that goes
-    through or ends at a node has: mixed probability so far of a one, and the weight left below."""
+    """Per depth and decision of a byte: sorted node keys (context bytes, then decisions so far) and
+    the mixed probability of a one for a path of which the node is the deepest known."""
 
     depth: int
-    keys: list[np.ndarray]
-    mixed: list[np.ndarray]
-    left: list[np.ndarray]
+    keys: list[list[np.ndarray]]
+    ones: list[list[np.ndarray]]
     pair_slots: np.ndarray
     pair_costs: np.ndarray
 
 
-def _node_counts(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _node_counts(pairs: np.ndarray, n: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of the b-th decision with their zeros and ones; sorted pairs give sorted nodes."""
     byte = pairs & np.uint64(0xFF)
-    base = pairs & ~np.uint64(0xFF)
-    keys = np.concatenate([base | (np.uint64(1 << b) | (byte >> np.uint64(8 - b))) for b in range(8)])
-    bits = np.concatenate([(byte >> np.uint64(7 - b)) & np.uint64(1) for b in range(8)]).astype(bool)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys = (pairs & ~np.uint64(0xFF)) | np.uint64(1 << b) | (byte >> np.uint64(8 - b))
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    weights = np.tile(n, 8)[order].astype(float)
-    one = np.where(bits[order], weights, 0.0)
     if not len(keys):
-        return keys, weights, one
-    total, ones = np.add.reduceat(weights, first), np.add.reduceat(one, first)
+        return keys, np.zeros(0), np.zeros(0)
+    one = ((byte >> np.uint64(7 - b)) & np.uint64(1)) * n.astype(float)
+    total, ones = np.add.reduceat(n.astype(float), first), np.add.reduceat(one, first)
     return keys[first], total - ones, ones
 
 
@@ -158,32 +153,39 @@ def build_tree(pairs: np.ndarray, n: np.ndarray, depth: int) -> Tree:
     levels = [(pairs, n)]
     for d in range(depth, 0, -1):
         levels.append(_drop_oldest(*levels[-1], d))
-    nodes = [_node_counts(p, c) for p, c in reversed(levels)]
-    parent: list[np.ndarray | None] = [None]
-    for d in range(1, depth + 1):
-        up = nodes[d][0] & np.uint64((1 << (8 * d)) - 1)  # context without its oldest byte, decisions
-        parent.append(np.searchsorted(nodes[d - 1][0], up))
-    weight: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-    below = None
-    for d in range(depth, -1, -1):
-        own = log_kt(nodes[d][1], nodes[d][2])
-        if d == depth:
-            weight[d] = np.ones(len(own))
-            block = own
-        else:
-            children = np.bincount(parent[d + 1], weights=below, minlength=len(own))
-            weight[d] = 1.0 / (1.0 + np.exp(np.clip(children - own, -700, 700)))
-            block = np.logaddexp(own, children) - math.log(2.0)
-        below = block
-    mixed, left = [], []
-    for d in range(depth + 1):
-        kt = (nodes[d][2] + 0.5) / (nodes[d][1] + nodes[d][2] + 1.0)
-        before = mixed[d - 1][parent[d]] if d else np.zeros(len(kt))
-        rest = left[d - 1][parent[d]] if d else np.ones(len(kt))
-        mixed.append(before + rest * weight[d] * kt)
-        left.append(rest * (1.0 - weight[d]))
-    tree = Tree(depth, [x[0] for x in nodes], mixed, left, np.zeros(0, np.uint64), np.zeros(0))
-    tree.pair_slots, tree.pair_costs = _slots(pairs, path_costs(tree, pairs))
+    levels.reverse()
+    keys: list[list[np.ndarray]] = [[] for _ in levels]
+    ones: list[list[np.ndarray]] = [[] for _ in levels]
+    costs = np.zeros(len(pairs))
+    for b in range(8):
+        nodes = [_node_counts(p, c, b) for p, c in levels]
+        # the parent has the context without its oldest byte, and the same decisions
+        parent = [np.zeros(0, np.int64)] + [
+            np.searchsorted(nodes[d - 1][0], nodes[d][0] & np.uint64((1 << (8 * d)) - 1)) for d in range(1, depth + 1)
+        ]
+        weight: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
+        below = np.zeros(0)
+        for d in range(depth, -1, -1):
+            own = log_kt(nodes[d][1], nodes[d][2])
+            if d == depth:
+                weight[d], below = np.ones(len(own)), own
+            else:
+                children = np.bincount(parent[d + 1], weights=below, minlength=len(own))
+                weight[d] = 1.0 / (1.0 + np.exp(np.clip(children - own, -700, 700)))
+                below = np.logaddexp(own, children) - math.log(2.0)
+        mixed, left = np.zeros(0), np.zeros(0)
+        for d in range(depth + 1):
+            kt = (nodes[d][2] + 0.5) / (nodes[d][1] + nodes[d][2] + 1.0)
+            before = mixed[parent[d]] if d else np.zeros(len(kt))
+            rest = left[parent[d]] if d else np.ones(len(kt))
+            mixed, left = before + rest * weight[d] * kt, rest * (1.0 - weight[d])
+            keys[d].append(nodes[d][0])
+            ones[d].append((mixed + 0.5 * left).astype(np.float32))
+        leaf = np.searchsorted(nodes[depth][0], (pairs & ~np.uint64(0xFF)) | np.uint64(1 << b) | ((pairs & np.uint64(0xFF)) >> np.uint64(8 - b)))
+        bit = ((pairs >> np.uint64(7 - b)) & np.uint64(1)).astype(bool)
+        costs += np.log(np.where(bit, mixed[leaf], 1.0 - mixed[leaf])) / LN10
+    tree = Tree(depth, keys, ones, np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    tree.pair_slots, tree.pair_costs = _slots(pairs, costs)
     return tree
 
 
@@ -196,7 +198,7 @@ def path_costs(tree: Tree, keys: np.ndarray) -> np.ndarray:
         decisions = np.uint64(1 << b) | (byte >> np.uint64(8 - b))
         live = np.arange(len(keys))
         for d in range(tree.depth + 1):
-            nodes = tree.keys[d]
+            nodes = tree.keys[d][b]
             if not len(live) or not len(nodes):
                 break
             # the d newest context bytes, then the decisions so far
@@ -205,7 +207,7 @@ def path_costs(tree: Tree, keys: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
             seen = nodes[at] == want
             live, at = live[seen], at[seen]
-            one[live] = tree.mixed[d][at] + 0.5 * tree.left[d][at]
+            one[live] = tree.ones[d][b][at]
         bit = ((byte >> np.uint64(7 - b)) & np.uint64(1)).astype(bool)
         total += np.log(np.where(bit, one, 1.0 - one))
     return total / LN10
@@ -216,9 +218,9 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slots(keys: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An open hash table of the pairs, four times their number."""
-    bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
-    table, values = np.full(1 << bits, EMPTY), np.zeros(1 << bits)
+    """An open hash table of the pairs, at least twice as large as their number."""
+    bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+    table, values = np.full(1 << bits, EMPTY), np.zeros(1 << bits, np.float32)
     todo = np.arange(len(keys))
     at = ((keys * SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
     while len(todo):
@@ -234,7 +236,7 @@ def costs_of(tree: Tree, keys: np.ndarray) -> np.ndarray:
     """As path_costs; pairs of the training texts come from the table."""
     bits = len(tree.pair_slots).bit_length() - 1
     at = ((keys * SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
-    out = tree.pair_costs[at]
+    out = tree.pair_costs[at].astype(float)
     there = tree.pair_slots[at]
     todo = np.flatnonzero(there != keys)
     at, there = at[todo], there[todo]
