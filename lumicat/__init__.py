@@ -1,0 +1 @@
+"""lumicat: a media-catalog engine on PySpark."""
