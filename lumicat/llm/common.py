@@ -1,16 +1,15 @@
-"""Helpers shared by the training-data operators: scratch tables, remote files, byte words."""
+"""Helpers shared by the training-data operators: remote files, byte words, bounded chunks."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumicat.scratch import delete_path, materialise, scratch_path  # noqa: F401  (used by the operators)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,46 +30,6 @@ def lowered(col: Column) -> Column:
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_lumicat_scratch", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="lumicat-scratch-")
-            spark._lumicat_scratch = root
-            atexit.register(_remove_local, root)
-    return root.rstrip("/")
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/lumicat-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back.
-
-    Cuts the lineage; a lost executor costs no recomputation of what is written.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def open_fs(uri: str):
     """(file system, path) of a URI or absolute path, usable from executors."""
     from pyarrow import fs

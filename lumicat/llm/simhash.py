@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.common import byte_chunks, materialise
-from lumicat.llm.components import components
+from lumicat.operators.graph import components
 
 RADIUS = 3
 WIDTH = 3
