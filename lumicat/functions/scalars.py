@@ -80,10 +80,11 @@ def color_label(score: Column, red: str = C.DEFAULT.red_label, green: str = C.DE
     return F.when(~is_finite(s), None).when(s < 4.0, red).when(s >= 7.0, green).otherwise("")
 
 
-def two_decimals(x: Column, pattern: str = "%05.2f") -> Column:
-    """Two decimals, ties to even on the exact value of a 32-bit float."""
+def two_decimals(x: Column, width: int = 5) -> Column:
+    """Two decimals, ties to even on the exact value of a 32-bit float, zero-padded to ``width``."""
     exact = x.cast("float").cast("double").cast("decimal(38,17)")
-    return F.format_string(pattern, F.bround(exact, 2))
+    text = F.bround(exact, 2).cast("decimal(38,2)").cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
 def stem_of(path: Column) -> Column:

@@ -69,8 +69,9 @@ def threshold_clusters(rows: DataFrame, threshold: float, order: list[str], id_c
     """
     edges = similar_pairs(rows, threshold, id_column, vector).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(edges)
-    members = rows.select(F.col(id_column).cast("long").alias("id"), *order).join(found, F.col("id") == F.col("node"), "left")
-    members = members.select("id", *[o for o in order if o != "id"], F.coalesce("root", "id").alias("component"))
+    others = [o for o in order if o != "id"]
+    members = rows.select(F.col(id_column).cast("long").alias("id"), *others).join(found, F.col("id") == F.col("node"), "left")
+    members = members.select("id", *others, F.coalesce("root", "id").alias("component"))
     members = materialise(members, "members")
     first = members.groupBy("component").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("cluster_size"))
     numbered = global_index(first, F.col("first"), F.col("component"), name="cluster_id")
