@@ -8,8 +8,8 @@ depths are mixed by how well each codes the training texts. The block probabilit
 counts alone, so training is one distributed count of (context, byte) pairs, and a decision's
 probability mixes the nodes on its path by their posterior weights.
 
-What the corpus gives is counted on executors. The tree, broadcast to score with, is bounded by
-``MAX_PAIRS`` distinct pairs: if the corpus has more at the full depth, the oldest byte of
+What the corpus gives is counted on executors. The tree, which every worker loads to score with, is
+bounded by ``MAX_PAIRS`` distinct pairs: if the corpus has more at the full depth, the oldest byte of
 context is dropped (counts are summed, none is left out) until it fits.
 
 Texts are lower-cased (A-Z), start in a context of 0xFF bytes (which no UTF-8 text holds) and end
@@ -25,6 +25,8 @@ repeated rows each get their row; columns beside doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import byte_chunks, materialise
+from lumicat.llm.common import byte_chunks, materialise, open_fs, scratch_path
 
 DEPTH = 5
 EDGE = 0xFF
@@ -324,20 +326,53 @@ def count_pairs(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def train_tree(texts: DataFrame, depth: int = DEPTH, max_pairs: int = MAX_PAIRS) -> Tree:
-    """Counts pairs on the executors, shortens contexts until the tree's bound holds, and weights it."""
+def train_tree(texts: DataFrame, depth: int = DEPTH, max_pairs: int = MAX_PAIRS) -> str:
+    """Counts pairs on the executors, shortens contexts until the tree's bound holds, and weights the
+    tree in one task, which writes it to the shared folder; returns its path there."""
     if not 0 <= depth <= 6:
         raise ValueError("a context has 0 to 6 bytes")
+    spark = texts.sparkSession
     pairs = materialise(count_pairs(texts, depth), "ctw-pairs")
     while depth and pairs.count() > max_pairs:
         short = F.col("pair").bitwiseAND(F.lit((1 << (8 * depth)) - 1))
         pairs = materialise(pairs.groupBy(short.alias("pair")).agg(F.sum("n").alias("n")), "ctw-pairs")
         depth -= 1
-    table = pairs.toArrow()  # at most max_pairs rows
-    keys = table.column("pair").to_numpy().view(np.uint64)
-    n = table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return build_tree(keys[order], n[order], depth)
+    path = scratch_path(spark, "ctw-tree")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
+        n = np.concatenate([np.zeros(0, np.int64), *(c for _, c in held)])
+        held.clear()
+        order = np.argsort(keys)
+        save_tree(build_tree(keys[order], n[order], depth), path)
+        yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["pairs"])
+
+    pairs.repartition(1).mapInArrow(build, "pairs long").collect()  # one row; at most max_pairs go in
+    return path
+
+
+def save_tree(tree: Tree, uri: str) -> None:
+    """Written under another name and moved, so that a task that runs again leaves one file."""
+    fs, path = open_fs(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part, compression=None) as out:
+        pickle.dump(tree, out, protocol=5)
+    fs.move(part, path)
+
+
+_loaded: dict[str, Tree] = {}
+
+
+def load_tree(uri: str) -> Tree:
+    """The tree of a path, read once for each Python worker."""
+    if uri not in _loaded:
+        fs, path = open_fs(uri)
+        _loaded.clear()
+        with fs.open_input_stream(path, compression=None) as f:
+            _loaded[uri] = pickle.load(f)
+    return _loaded[uri]
 
 
 SCORED = "doc_id long, held_out boolean, row_key long, n_tokens long, n_known long, known_sum double, score double, n_bytes long, rare array<struct<token:binary,n:long>>"
@@ -354,12 +389,13 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, max_p
     counts = materialise(count_tokens(train), "tokens")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()  # one row
     total, distinct = sums["n"] or 0, sums["v"] or 0
-    frequent = {bytes(r["token"]): r["n"] for r in counts.orderBy(F.desc("n"), "token").limit(head).collect()}  # at most ``head`` rows
-    tree = spark.sparkContext.broadcast(train_tree(train, depth, max_pairs))
-    known = spark.sparkContext.broadcast({t: math.log10(n + 1) for t, n in frequent.items()})
+    frequent = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()  # at most ``head`` rows
+    times = frequent.column("n").to_pylist()
+    known = spark.sparkContext.broadcast({t: math.log10(n + 1) for t, n in zip(frequent.column("token").to_pylist(), times)})
+    tree = train_tree(train, depth, max_pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = tree.value, known.value
+        model, logs = load_tree(tree), known.value
         for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
             texts = chunk.column("text").to_pylist()
             scores = log10_probabilities(model, texts)
@@ -383,7 +419,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, max_p
     rare = scored.select(F.col("doc_id").alias("r_doc"), F.col("row_key").alias("r_key"), F.explode("rare").alias("r")).select("r_doc", "r_key", "r.token", F.col("r.n").alias("times"))
     if not scored.groupBy("doc_id", "row_key").count().where("count > 1").isEmpty():  # equal rows meet their counts once
         rare = rare.distinct()
-    least = min(frequent.values(), default=0) if len(frequent) >= head else 0
+    least = min(times, default=0) if len(times) >= head else 0  # rarer tokens were all sent out
     met = rare.join(counts.where(F.col("n") <= least), "token")
     more = met.groupBy("r_doc", "r_key").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_sum"))
     out = scored.drop("rare").join(more, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("row_key") == F.col("r_key")), "left")
