@@ -87,20 +87,24 @@ def two_decimals(x: Column, width: int = 5) -> Column:
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)\z", 1)
+
+
 def stem_of(path: Column) -> Column:
     """File name without its last extension; a leading dot starts no extension."""
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(name)
+    name = file_name(path)
+    return F.when(name.rlike(r"(?s)^.+\.[^.]*\z"), F.regexp_extract(name, r"(?s)^(.+)\.[^.]*\z", 1)).otherwise(name)
 
 
 def extension_of(path: Column) -> Column:
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"(?s)^.+\.([^.]*)$", 1)).otherwise("")
+    name = file_name(path)
+    return F.when(name.rlike(r"(?s)^.+\.[^.]*\z"), F.regexp_extract(name, r"(?s)^.+\.([^.]*)\z", 1)).otherwise("")
 
 
 def with_extension(path: Column, extension: str) -> Column:
     """The path with its extension replaced, or added if it has none."""
-    return F.when(path.rlike(r"[^/]\.[^./]*$"), F.regexp_replace(path, r"\.[^./]*$", f".{extension}")).otherwise(F.concat(path, F.lit(f".{extension}")))
+    return F.when(path.rlike(r"[^/]\.[^./]*\z"), F.regexp_replace(path, r"\.[^./]*\z", f".{extension}")).otherwise(F.concat(path, F.lit(f".{extension}")))
 
 
 def source_kind(path: Column) -> Column:
@@ -125,7 +129,7 @@ def cap_bytes(text: Column, most: Column) -> Column:
     raw = text.cast("binary")
     cuts = [F.substr(raw, F.lit(1), F.greatest(most - k, F.lit(0))) for k in range(4)]
     whole = [F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")) for c in cuts]
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*whole, F.lit("")))
+    return F.when(text.isNotNull(), F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*whole, F.lit(""))))
 
 
 def cluster_part(cluster: Column, pattern: str, none: str | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +27,6 @@ def first_wins(rows: DataFrame, key: Column, order: list) -> DataFrame:
 
 def nfc(text: Column) -> Column:
     """Unicode normal form C (no JVM function has it, so in Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         import unicodedata
