@@ -4,7 +4,7 @@ The categories are predicted one after another: the model of each takes the word
 the probabilities (as log-odds) of the categories before it. While training, those come from
 out-of-fold predictions, so that a later model learns from probabilities as uncertain as the
 ones it meets afterwards. Features are the distinct words of the whole text and their first
-``PREFIXES`` bytes, kept if they occur in ``MIN_DOCS`` texts of the sample. The threshold of a
+``PREFIXES`` bytes, kept if they go with a label in the sample. The threshold of a
 category is the one with the best F1 over the out-of-fold probabilities.
 
 Training takes a bounded sample: ``MAX_TRAINING`` labelled documents with the smallest hash of
@@ -33,6 +33,8 @@ from lumicat.llm.common import ALNUM_TABLE, byte_chunks
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 MAX_TRAINING = 6000
 MIN_DOCS = 3
+#: Likelihood-ratio statistic (one degree of freedom) from which a feature is kept.
+MIN_G = 20.0
 PREFIXES = (4, 5, 6)
 FOLDS = 3
 RIDGE = 1.0
@@ -74,14 +76,14 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, iterations: int = ITERATIONS) -> np.ndarray:
+def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE, iterations: int = ITERATIONS) -> np.ndarray:
     """Ridge logistic regression by L-BFGS; parameters are features, extras, bias."""
     n_extra = extra.shape[1]
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         z = x.dot(p[: x.width]) + extra @ p[x.width : x.width + n_extra] + p[-1]
-        e = (sigmoid(z) - y) * weight
-        value = float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * ridge * (p[:-1] ** 2).sum())
+        e = sigmoid(z) - y
+        value = float((np.logaddexp(0, z) - y * z).sum() + 0.5 * ridge * (p[:-1] ** 2).sum())
         grad = np.concatenate([x.back(e), extra.T @ e, [e.sum()]])
         grad[:-1] += ridge * p[:-1]
         return value, grad
@@ -89,7 +91,7 @@ def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, ri
     p = np.zeros(x.width + n_extra + 1)
     value, grad = loss(p)
     memory: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(iterations):
+    for k in range(iterations):
         q, alphas = grad.copy(), []
         for s, t, rho in reversed(memory):
             alphas.append(rho * (s @ q))
@@ -99,7 +101,7 @@ def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, ri
             q *= (s @ t) / (t @ t)
         for (s, t, rho), a in zip(memory, reversed(alphas)):
             q += (a - rho * (t @ q)) * s
-        slope, step = grad @ q, 1.0 if memory else 1.0 / max(1.0, float(np.abs(grad).sum()))
+        slope, step = grad @ q, 1.0 if memory else 1.0 / max(1e-9, float(np.linalg.norm(grad)))
         while True:
             new = p - step * q
             new_value, new_grad = loss(new)
@@ -109,7 +111,7 @@ def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, ri
         s, t = new - p, new_grad - grad
         if s @ t > 1e-12:
             memory = [*memory[-7:], (s, t, 1.0 / (s @ t))]
-        done = value - new_value < 1e-5 * max(1.0, abs(value))
+        done = k > 4 and value - new_value < 1e-6 * max(1.0, abs(value))
         p, value, grad = new, new_value, new_grad
         if done:
             break
@@ -156,34 +158,58 @@ class Chain:
         return out
 
 
+def telling_features(sets: list[set[bytes]], labels: np.ndarray) -> list[list[bytes]]:
+    """Per category, features of ``MIN_DOCS`` texts or more that go with its label by a likelihood-ratio test.
+
+    A linear sum over all words of a long text would drown its telling ones.
+    """
+    seen = Counter(f for s in sets for f in s)
+    names = sorted(f for f, n in seen.items() if n >= MIN_DOCS)
+    ids = {f: i for i, f in enumerate(names)}
+    rows = Rows([np.array([ids[f] for f in s if f in ids], np.int64) for s in sets], len(names))
+    total, has = float(len(sets)), np.array([seen[f] for f in names], float)
+
+    def part(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, count * np.log(np.maximum(count, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    chosen = []
+    for c in range(labels.shape[1]):
+        positive = float(labels[:, c].sum())
+        a = rows.back(labels[:, c].astype(float))
+        cells = ((a, has, positive), (has - a, has, total - positive), (positive - a, total - has, positive), (total - positive - has + a, total - has, total - positive))
+        g = 2 * sum(part(count, r * k / total) for count, r, k in cells)
+        chosen.append([f for f, x in zip(names, g) if x >= MIN_G])
+    return chosen
+
+
 def train_chain(texts: list[bytes], labels: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
     """Fit the chain on texts and their 0/1 labels (rows by categories); folds by row number."""
     words = [text_words(t) for t in texts]
     sets = [{f for w in ws for f in features_of(w)} for ws in words]
-    seen = Counter(f for s in sets for f in s)
-    ids = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCS))}
-    rows = [np.array(sorted(ids[f] for f in s if f in ids), np.int64) for s in sets]
-    fold = np.arange(len(rows)) % folds
-    whole = Rows(rows, len(ids))
-    earlier = np.zeros((len(rows), 0))
-    params, thresholds = [], []
-    for c in range(len(names)):
+    fold = np.arange(len(sets)) % folds
+    earlier = np.zeros((len(sets), 0))
+    weights: dict[bytes, np.ndarray] = {}
+    links, bias, thresholds = [], [], []
+    for c, chosen in enumerate(telling_features(sets, labels)):
+        ids = {f: i for i, f in enumerate(chosen)}
+        rows = [np.array(sorted(ids[f] for f in s if f in ids), np.int64) for s in sets]
         y = labels[:, c].astype(float)
-        weight = np.ones(len(y))
         out_of_fold = np.zeros(len(y))
         for k in range(folds):
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if not len(train) or not len(test):
                 continue
-            p = fit_linear(Rows([rows[i] for i in train], len(ids)), earlier[train], y[train], weight[train])
+            p = fit_linear(Rows([rows[i] for i in train], len(ids)), earlier[train], y[train])
             z = Rows([rows[i] for i in test], len(ids)).dot(p[: len(ids)]) + earlier[test] @ p[len(ids) : -1] + p[-1]
             out_of_fold[test] = sigmoid(z)
-        params.append(fit_linear(whole, earlier, y, weight))
+        p = fit_linear(Rows(rows, len(ids)), earlier, y)
+        for f, i in ids.items():
+            weights.setdefault(f, np.zeros(len(names)))[c] = p[i]
+        links.append(p[len(ids) : -1])
+        bias.append(float(p[-1]))
         thresholds.append(best_threshold(out_of_fold, y))
         earlier = np.column_stack([earlier, log_odds(out_of_fold)])
-    table = np.column_stack([p[: len(ids)] for p in params]) if params else np.zeros((0, 0))
-    weights = {f: table[i] for f, i in ids.items()}
-    return Chain(names, weights, [p[len(ids) : -1] for p in params], [float(p[-1]) for p in params], thresholds)
+    return Chain(names, weights, links, bias, thresholds)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, chain=CHAIN, most: int = MAX_TRAINING) -> DataFrame:
