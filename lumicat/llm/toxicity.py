@@ -158,16 +158,16 @@ class Chain:
         return out
 
 
-def telling_features(sets: list[set[bytes]], labels: np.ndarray) -> list[list[bytes]]:
+def telling_features(docs: list[np.ndarray], n_features: int, labels: np.ndarray) -> list[np.ndarray]:
     """Per category, features of ``MIN_DOCS`` texts or more that go with its label by a likelihood-ratio test.
 
     A linear sum over all words of a long text would drown its telling ones.
     """
-    seen = Counter(f for s in sets for f in s)
-    names = sorted(f for f, n in seen.items() if n >= MIN_DOCS)
-    ids = {f: i for i, f in enumerate(names)}
-    rows = Rows([np.array([ids[f] for f in s if f in ids], np.int64) for s in sets], len(names))
-    total, has = float(len(sets)), np.array([seen[f] for f in names], float)
+    total, has = float(len(docs)), np.zeros(n_features)
+    hits = np.zeros((labels.shape[1], n_features))
+    for d, y in zip(docs, labels):  # a text has each feature once
+        has[d] += 1
+        hits[np.flatnonzero(y)[:, None], d] += 1
 
     def part(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(count > 0, count * np.log(np.maximum(count, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
@@ -175,24 +175,34 @@ def telling_features(sets: list[set[bytes]], labels: np.ndarray) -> list[list[by
     chosen = []
     for c in range(labels.shape[1]):
         positive = float(labels[:, c].sum())
-        a = rows.back(labels[:, c].astype(float))
+        a = hits[c]
         cells = ((a, has, positive), (has - a, has, total - positive), (positive - a, total - has, positive), (total - positive - has + a, total - has, total - positive))
         g = 2 * sum(part(count, r * k / total) for count, r, k in cells)
-        chosen.append([f for f, x in zip(names, g) if x >= MIN_G])
+        chosen.append(np.flatnonzero((g >= MIN_G) & (has >= MIN_DOCS)))
     return chosen
 
 
 def train_chain(texts: list[bytes], labels: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
     """Fit the chain on texts and their 0/1 labels (rows by categories); folds by row number."""
-    words = [text_words(t) for t in texts]
-    sets = [{f for w in ws for f in features_of(w)} for ws in words]
-    fold = np.arange(len(sets)) % folds
-    earlier = np.zeros((len(sets), 0))
+    numbers: dict[bytes, int] = {}
+    docs = []
+    for t in texts:  # sorted, so that reruns number alike
+        found = {numbers.setdefault(f, len(numbers)) for w in sorted(text_words(t)) for f in features_of(w)}
+        docs.append(np.sort(np.fromiter(found, np.int32, len(found))))
+    selected = telling_features(docs, len(numbers), labels)
+    keep = set(np.concatenate([np.zeros(0, np.int64), *selected]).tolist())
+    feature = {i: f for f, i in numbers.items() if i in keep}
+    n_features = len(numbers)
+    del numbers
+    fold = np.arange(len(docs)) % folds
+    earlier = np.zeros((len(docs), 0))
     weights: dict[bytes, np.ndarray] = {}
     links, bias, thresholds = [], [], []
-    for c, chosen in enumerate(telling_features(sets, labels)):
-        ids = {f: i for i, f in enumerate(chosen)}
-        rows = [np.array(sorted(ids[f] for f in s if f in ids), np.int64) for s in sets]
+    for c, chosen in enumerate(selected):
+        local = np.full(n_features, -1, np.int64)
+        local[chosen] = np.arange(len(chosen))
+        rows = [(r := local[d])[r >= 0] for d in docs]
+        ids = range(len(chosen))
         y = labels[:, c].astype(float)
         out_of_fold = np.zeros(len(y))
         for k in range(folds):
@@ -203,8 +213,8 @@ def train_chain(texts: list[bytes], labels: np.ndarray, names: list[str], folds:
             z = Rows([rows[i] for i in test], len(ids)).dot(p[: len(ids)]) + earlier[test] @ p[len(ids) : -1] + p[-1]
             out_of_fold[test] = sigmoid(z)
         p = fit_linear(Rows(rows, len(ids)), earlier, y)
-        for f, i in ids.items():
-            weights.setdefault(f, np.zeros(len(names)))[c] = p[i]
+        for i, k in enumerate(chosen.tolist()):
+            weights.setdefault(feature[k], np.zeros(len(names)))[c] = p[i]
         links.append(p[len(ids) : -1])
         bias.append(float(p[-1]))
         thresholds.append(best_threshold(out_of_fold, y))
