@@ -1,8 +1,8 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
-Documents of equal text are a group. Groups of over 1/``FINE`` of a shard's mean bytes are placed
-one by one (there can't be more than ``FINE`` times the shards of them); one that no shard could
-hold is cut into equal pieces first. The other groups are gathered by hash of their text into
+Documents of equal text are a group. Groups of over 1/``FINE`` of a shard's mean bytes, tokens or
+rows are placed one by one (there can't be more than three times ``FINE`` times the shards of them);
+one that no shard could hold is cut into equal pieces first. The other groups are gathered by hash of their text into
 ``FINE`` times the shards bundles. So what is placed is of bounded number at any size of the
 input. Units are placed from large to small, each in the shard where the dot product of its
 vector with the shard's residual capacity is highest, among shards that it still fits in every
@@ -64,13 +64,13 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
 def units(rows: DataFrame, shards: int, fine: int = FINE) -> tuple[DataFrame, DataFrame]:
     """(groups that are placed by themselves, rows with their unit)."""
     # one row
-    total = rows.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
-    mean = max(1.0, total / shards)
-    large = (
-        rows.groupBy("group_key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > mean / fine)
-        .select(F.col("group_key").alias("l_key"), F.ceil(F.col("bytes") / mean).cast("int").alias("pieces"))
-    )
-    large = materialise(large, "shard-groups")  # fewer than fine * shards rows
+    totals = rows.agg(*(F.sum(c).alias(c) for c in ("size", "tokens")), F.count("*").alias("n_rows")).first()
+    mean = {c: max(1.0, (totals[c] or 0) / shards) for c in ("size", "tokens", "n_rows")}
+    grouped = rows.groupBy("group_key").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows"))
+    share = F.greatest(*(F.col(c) / m for c, m in mean.items()))  # of a shard, in the component it fills most
+    large = grouped.select(F.col("group_key").alias("l_key"), share.alias("share")).where(F.col("share") > 1 / fine)
+    large = large.select("l_key", F.ceil("share").cast("int").alias("pieces"))
+    large = materialise(large, "shard-groups")  # fewer than 3 * fine * shards rows
     tagged = rows.join(F.broadcast(large), F.col("group_key") == F.col("l_key"), "left")
     piece = F.pmod(F.xxhash64("doc_id", "group_key"), F.col("pieces"))
     bundle = F.pmod(F.xxhash64("group_key"), F.lit(fine * shards))
@@ -83,7 +83,7 @@ def pack(docs: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFrame:
     rows = materialise(measured(docs), "shard-rows")
     _, tagged = units(rows, shards, fine)
     summed = tagged.groupBy("unit").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows"))
-    # at most 3 * fine * shards rows
+    # a bounded number of rows, as bundles and pieces of large groups are few
     found = sorted(summed.collect(), key=lambda r: r["unit"])
     spark = docs.sparkSession
     vectors = np.array([[r["bytes"], r["tokens"], r["n_rows"]] for r in found], np.int64).reshape(-1, 3)
