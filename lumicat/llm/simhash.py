@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import byte_chunks, materialise
+from lumicat.llm.common import byte_chunks, materialise, shuffle_partitions
 from lumicat.operators.graph import components
 
 RADIUS = 3
@@ -211,7 +211,9 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, max_checks: int = MAX_C
                 keys, fps = _emit(fp[a : a + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    variants = distinct_fps.select("fp").mapInArrow(emit, "key long, fp long")
+    # each row becomes 66, so few small partitions are dealt out first
+    spread = distinct_fps.select("fp").repartition(shuffle_partitions(distinct_fps.sparkSession), "fp")
+    variants = spread.mapInArrow(emit, "key long, fp long")
     met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(True, radius, max_checks), FOUND)
     met = materialise(met, "links")
     again = met.where("key is not null").select("key", "fp").distinct()
