@@ -44,9 +44,9 @@ MAX_PAIRS = 3_000_000
 HEAD = 100_000
 END_TOKEN = b" "  # no word holds a blank
 FOLDS, HELD_OUT = 7, 2
-CHUNK_BYTES = 2 << 20
-FLUSH_TOKENS = 300_000
-FLUSH_PAIRS = 2_000_000
+CHUNK_BYTES = 1 << 20
+FLUSH_TOKENS = 150_000
+FLUSH_PAIRS = 500_000
 LN10 = math.log(10.0)
 
 
@@ -263,6 +263,9 @@ def log10_probabilities(tree: Tree, texts: list[bytes]) -> np.ndarray:
     return np.add.reduceat(costs_of(tree, keys), firsts)
 
 
+_loaded: dict[str, Tree] = {}
+
+
 # --- distributed ------------------------------------------------------------------------------
 
 
@@ -270,6 +273,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     """(token, n) over all texts, counted within tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _loaded.clear()  # a worker that has scored before gives its tree back
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -292,6 +296,7 @@ def count_pairs(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(pair, n): how often each byte follows each context, counted within tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _loaded.clear()
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def add(more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +316,7 @@ def count_pairs(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             waiting.clear()
             held = 0
 
-        for chunk in byte_chunks(batches, "text", 2 * CHUNK_BYTES):
+        for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
             waiting.append(count_keys(coded_keys(chunk.column("text").to_pylist(), depth)[0]))
             held += len(waiting[-1][0])
             if held > FLUSH_PAIRS:
@@ -362,9 +367,6 @@ def save_tree(tree: Tree, uri: str) -> None:
     fs.move(part, path)
 
 
-_loaded: dict[str, Tree] = {}
-
-
 def load_tree(uri: str) -> Tree:
     """The tree of a path, read once for each Python worker."""
     if uri not in _loaded:
