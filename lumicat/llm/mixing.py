@@ -21,6 +21,7 @@ Columns beside doc_id, text and source are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ BLOCK = 128
 SLOTS_PER_SHARD = 4096
 MAX_SHARDS = 4096
 MAX_SOURCES = 100_000
-BUCKET_ROWS = 20_000
 SEED = 17
 ROUNDS = 6
 
@@ -104,8 +104,8 @@ def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
 def layout(docs: DataFrame) -> DataFrame:
     """(doc_id, source, copies, size, start): where each document's words lie in its source's stream.
 
-    A source is cut into hash buckets of about BUCKET_ROWS documents; running sums are taken within
-    a bucket, and bucket sums give the buckets' starts.
+    A source of n documents is cut into about sqrt(n) hash buckets; running sums are taken within a
+    bucket, and bucket sums give the buckets' starts, so no task sorts more than about sqrt(n) rows.
     """
     d = docs.select(
         "doc_id", "source", F.xxhash64("text").alias("text_key"),
@@ -120,7 +120,7 @@ def layout(docs: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sources.sort(key=lambda r: (r["s_source"] is None, (r["s_source"] or "").encode("utf-8")))
     targets = water_fill([r["source_size"] for r in sources])
-    known = [(i, r["s_source"], r["source_size"], t, max(1, -(-r["docs"] // BUCKET_ROWS))) for i, (r, t) in enumerate(zip(sources, targets))]
+    known = [(i, r["s_source"], r["source_size"], t, max(1, math.isqrt(r["docs"]))) for i, (r, t) in enumerate(zip(sources, targets))]
     spark = docs.sparkSession
     names = spark.createDataFrame(known, "source_no int, s_source string, source_size long, target double, buckets long")
     d = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("s_source")))
