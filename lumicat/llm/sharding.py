@@ -8,7 +8,7 @@ input. Units are placed from large to small, each in the shard where the dot pro
 vector with the shard's residual capacity is highest, among shards that it still fits in every
 component (or, if none, the one with the most bytes left).
 
-Slots are numbered from counts: a unit's rows are split by hash into cells, cells get their first
+Slots are numbered from counts: a unit's n rows are split by hash into about sqrt(n) cells, cells get their first
 slot from the counts before them, and rows are numbered inside a cell only, so no task has a
 whole shard or a whole group.
 
@@ -19,6 +19,8 @@ beside doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,6 @@ from lumicat.llm.common import materialise
 SHARDS = 40
 FINE = 64
 ROW_BYTES = 16
-CELL_ROWS = 20_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def pack(docs: DataFrame, shards: int = SHARDS, fine: int = FINE) -> DataFrame:
     shard_of = place(vectors, shards)
     starts, filled = [], [0] * shards
     for r, s in zip(found, shard_of.tolist()):
-        starts.append((r["unit"], s, filled[s], max(1, -(-r["n_rows"] // CELL_ROWS))))
+        starts.append((r["unit"], s, filled[s], max(1, math.isqrt(r["n_rows"]))))
         filled[s] += r["n_rows"]
     plan = spark.createDataFrame(starts, "u_unit string, shard int, unit_start long, cells int")
     dealt = tagged.join(F.broadcast(plan), F.col("unit") == F.col("u_unit"))
