@@ -192,7 +192,8 @@ def join_blocks(laid: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFr
     """Pieces of documents with the number of times that the mix takes their block, and in which passes."""
     times = slots.groupBy(F.col("source_no").alias("t_no"), F.col("block").alias("t_block")).agg(F.count("*").alias("times"))
     p = pieces(laid, block)
-    return p.join(times, (p.source_no == F.col("t_no")) & (p.block == F.col("t_block")))
+    # slots grow with the input, though the plan they are made from is small: never broadcast them
+    return p.join(times.hint("merge"), (p.source_no == F.col("t_no")) & (p.block == F.col("t_block")))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -215,7 +216,7 @@ def mixed_ranges(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataF
     laid = materialise(layout(docs), "mix-layout")
     slots = map_slots(plan_slots(laid, block, seed=seed), seed).select(F.col("source_no").alias("t_no"), F.col("block").alias("t_block"), "pass")
     p = pieces(laid, block)
-    p = p.join(slots, (p.source_no == F.col("t_no")) & (p.block == F.col("t_block")))
+    p = p.join(slots.hint("merge"), (p.source_no == F.col("t_no")) & (p.block == F.col("t_block")))
     p = p.withColumn("copy", F.explode(F.sequence(F.expr("from_word div size"), F.expr("(to_word - 1) div size"))))
     p = p.withColumn("start", F.greatest(F.lit(0), F.col("from_word") - F.col("copy") * F.col("size"))).withColumn("stop", F.least("size", F.col("to_word") - F.col("copy") * F.col("size")))
     return p.groupBy("doc_id", "text_key", "source", "copies", "copy", "pass").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("ranges"))
