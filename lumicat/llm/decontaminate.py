@@ -32,7 +32,7 @@ from lumicat.llm.common import ALNUM_TABLE, byte_chunks
 
 WINDOW = 10
 SAMPLE = 8
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 PATTERNS_AT_ONCE = 8192
 MAX_BENCHMARK_WORDS = 20_000_000
 SENTINEL, SEPARATOR, FIRST_WORD = 0, 1, 2
@@ -215,8 +215,11 @@ def search_shard(texts: list[bytes], bench: Benchmark) -> tuple[np.ndarray, np.n
     """(words of each text; text, start and stop of each merged span; distinct (text, item) pairs)."""
     ids = _Ids(bench.ids)
     code = ids.__getitem__
-    tokens = [words_of(t) for t in texts]
-    n_words = np.array([len(t) for t in tokens], np.int64)
+    codes = []
+    for t in texts:  # one text's words at a time
+        words = words_of(t)
+        codes.append(np.fromiter(map(code, words), np.int32, len(words)))
+    n_words = np.array([len(c) for c in codes], np.int64)
     none = np.zeros(0, np.int64)
     empty = (n_words, none, none, none, np.zeros((0, 2), np.int64))
     if not len(bench.lengths):
@@ -224,10 +227,9 @@ def search_shard(texts: list[bytes], bench: Benchmark) -> tuple[np.ndarray, np.n
     # a separator after each text
     bases = np.concatenate([[0], np.cumsum(n_words + 1)])
     symbols = np.full(int(bases[-1]), SEPARATOR, np.int64)
-    for base, t in zip(bases, tokens):
-        if t:
-            symbols[base : base + len(t)] = np.fromiter(map(code, t), np.int64, len(t))
-    del tokens
+    for base, c in zip(bases, codes):
+        symbols[base : base + len(c)] = c
+    del codes
     known = np.concatenate([[0], (symbols != SEPARATOR).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(known))
     starts, stops = edges[::2], edges[1::2]

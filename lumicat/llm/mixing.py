@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumicat.llm.common import materialise
+from lumicat.llm.common import byte_chunks, materialise
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -252,8 +252,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = names.index("text")
+        at = names.index("text")
+        for batch in byte_chunks(batches, "text", 1 << 20):
             texts, cut = batch.column(at).to_pylist(), []
             for text, ranges_ in zip(texts, batch.column(len(names)).to_pylist()):
                 raw = text.encode()

@@ -35,7 +35,7 @@ WIDTH = 3
 SEED = 42
 MAX_CHECKS = 1 << 28
 BLOCK_CELLS = 1 << 22
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 SIMILARITY = 0.8
 SHINGLE = 5
 WORDS = 4
+CACHE_WORDS = 100_000
 BROADCAST_ROWS = 1_000_000
 LONG_WORD = 5
 MIXERS = tuple((2 * i + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1) for i in range(WORDS))
@@ -266,7 +267,7 @@ def word_fingerprints(text: bytes, cache: dict[bytes, int]) -> list[int]:
     chosen = {w for w in words if len(w) >= LONG_WORD}
     if len(chosen) < 8:
         chosen = words
-    if len(cache) > 400_000:
+    if len(cache) > CACHE_WORDS:
         cache.clear()
     for w in chosen.difference(cache):
         cache[w] = xxh64_intdigest(w, SEED)

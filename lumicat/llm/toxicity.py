@@ -39,7 +39,7 @@ PREFIXES = (4, 5, 6)
 FOLDS = 3
 RIDGE = 1.0
 ITERATIONS = 60
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def text_words(text: bytes) -> set[bytes]:
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
-        for chunk, p in _scored(byte_chunks(batches, "text", 4 << 20), "text", chain):
+        for chunk, p in _scored(byte_chunks(batches, "text", 1 << 20), "text", chain):
             columns = [pa.array(p[:, c]) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *columns, pa.array(p[:, -1] >= chain.thresholds[-1])], names=["doc_id", *(f"p_{n}" for n in names), names[-1]])
 
@@ -289,7 +289,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, p in _scored(byte_chunks(batches, "text", 4 << 20), "text", shared.value):
+        for chunk, p in _scored(byte_chunks(batches, "text", 1 << 20), "text", shared.value):
             yield chunk.filter(pa.array(p[:, -1] < shared.value.thresholds[-1]))
 
     return docs.mapInArrow(run, docs.schema)
