@@ -198,6 +198,42 @@ def encode_png(image: np.ndarray, level: int = 6) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
 
 
+def decode_png(data: bytes) -> np.ndarray:
+    """RGBA of an 8-bit RGB or RGBA PNG that isn't interlaced."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, body, head = 8, b"", None
+    while at + 8 <= len(data):
+        (size,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
+        chunk = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", chunk)
+        elif kind == b"IDAT":
+            body += chunk
+        at += 12 + size
+    if head is None or head[2] != 8 or head[3] not in (2, 6) or head[6]:
+        raise ValueError("only plain 8-bit RGB and RGBA PNGs")
+    w, h, c = head[0], head[1], {2: 3, 6: 4}[head[3]]
+    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * c)
+    out = np.zeros((h, w * c), np.uint8)
+    above = np.zeros(w * c, np.int64)
+    for y in range(h):
+        kind, line = int(raw[y, 0]), raw[y, 1:].astype(np.int64)
+        if kind == 2:
+            line = line + above
+        elif kind:
+            for x in range(w * c):  # these filters need the bytes on the left
+                left = int(line[x - c]) if x >= c else 0
+                corner = int(above[x - c]) if x >= c else 0
+                up = int(above[x])
+                near = min((left, up, corner), key=lambda v: abs(left + up - corner - v))
+                line[x] = (line[x] + {1: left, 3: (left + up) // 2, 4: near}[kind]) & 255
+        above = line & 255
+        out[y] = above
+    image = out.reshape(h, w, c)
+    return image if c == 4 else np.concatenate([image, np.full((h, w, 1), 255, np.uint8)], axis=2)
+
+
 def render(image: np.ndarray, long_edge: int | None = None, downscale_only: bool = False, shadow: float = 0.0, marks: list[tuple[np.ndarray, tuple[int, int, int, int]]] = ()) -> bytes:
     """Resize, shade the bottom, lay marks over it, encode. Without work the pixels pass through."""
     out = resize_long_edge(image, long_edge, downscale_only)

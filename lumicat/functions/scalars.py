@@ -299,6 +299,17 @@ def place(position: str, w: Column, h: Column, tw: Column, th: Column, mx: Colum
     }[position]
 
 
+def badge_box(tw: Column, th: Column, bw: Column, bh: Column, position: str = "bottom_right", scale_percent: float = 5.0) -> Column:
+    """Struct x, y, w, h of a badge whose long edge is a share of the image's; null if it doesn't fit."""
+    edge = F.greatest(tw, th).cast("double")
+    factor = F.greatest(edge * F.lit(scale_percent / 100.0), F.lit(1.0)) / F.greatest(bw, bh)
+    w, h = F.greatest(F.lit(1.0), bw * factor), F.greatest(F.lit(1.0), bh * factor)
+    pad = F.greatest(F.lit(8.0), F.floor(edge * F.lit(0.015) + 0.5).cast("double"))
+    x, y = place(position, w, h, tw.cast("double"), th.cast("double"), pad, pad)
+    fits = (x >= 0) & (y >= 0) & (x + w <= tw) & (y + h <= th)
+    return F.when(fits, F.struct(*(F.floor(v + 0.5).cast("int").alias(k) for k, v in zip("xywh", (x, y, w, h)))))
+
+
 def shadow_ramp(height: Column, fraction: float) -> Column:
     """Alpha values 0..255 of the rows of the bottom band."""
     band = F.floor(height * F.lit(fraction) + 0.5).cast("int")

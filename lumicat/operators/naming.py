@@ -1,7 +1,5 @@
 """Output names without collisions."""
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -7,10 +7,11 @@ plugged in as functions from rows to rows.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumicat import config as C
@@ -20,6 +21,7 @@ from lumicat.operators import dedup as D
 from lumicat.operators import naming as N
 from lumicat.scratch import materialise
 from lumicat.sources import files, outputs
+from lumicat.sources.images import read_rasters
 from lumicat.store import Catalog
 
 
@@ -172,7 +174,32 @@ def rename(catalog: Catalog, cfg: RunConfig) -> dict[str, int]:
     return count_by(materialise(outputs.copy_pairs(plan, cfg.output, cfg.force), "renamed"), "outcome")
 
 
-def run(catalog: Catalog, cfg: RunConfig, scorer, embedder, decode, exif=None) -> tuple[int, dict[str, dict[str, int]]]:
+def watermark(spark: SparkSession, source: str, output: str, mark_path: str, position: str = "bottom_right", scale: float = 5.0, force: bool = False) -> dict[str, int]:
+    """Lay a mark over every raster image below a folder; outputs keep their stems."""
+    mark = outputs.load_mark(mark_path)
+    images = read_rasters(spark, source)
+    good = images.where("error IS NULL").withColumn("box", S.badge_box(F.col("width"), F.col("height"), F.lit(mark.shape[1]), F.lit(mark.shape[0]), position, scale))
+    planned = good.withColumn("target", F.concat(F.lit(output.rstrip("/") + "/"), S.stem_of(F.col("source_path")), F.lit(".png")))
+    done = outputs.write_blobs(outputs.mark_images(planned, mark), output, force)
+    counts = count_by(materialise(done, "marked"), "outcome")
+    return counts | {"undecodable": images.where("error IS NOT NULL").count()}
+
+
+class Timings:
+    """Seconds of stages, appended to a tab-separated log."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, name: str, stage: Callable[[], dict[str, int]]) -> dict[str, int]:
+        began = time.monotonic()
+        result = stage()
+        with open(self.path, "a") as f:
+            f.write(f"{name}\t{time.monotonic() - began:.3f}\t{K.summary_line(result)}\n")
+        return result
+
+
+def run(catalog: Catalog, cfg: RunConfig, scorer, embedder, decode, exif=None, timings: Timings | None = None) -> tuple[int, dict[str, dict[str, int]]]:
     """All five stages; strict stops at the first failing one, else the first failure's code is returned."""
     check_folders(cfg.source, cfg.output)
     stages = {
@@ -184,7 +211,7 @@ def run(catalog: Catalog, cfg: RunConfig, scorer, embedder, decode, exif=None) -
     }
     code, report = 0, {}
     for name, (stage, failures, useful) in stages.items():
-        report[name] = stage()
+        report[name] = timings(name, stage) if timings else stage()
         this = K.exit_code(report[name], failures, failures if name == "export" else [], useful, cfg.strict)
         code = code or this
         if this and cfg.strict:

@@ -15,11 +15,16 @@ from lumicat.functions.pixels import jpeg_orientation, upright
 DECODED = "source_path string, width int, height int, rgb binary, error string"
 
 
+def _local(path: str):
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
     """Upright RGB of every JPEG or PNG below a path; an undecodable one has an error."""
     images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(path)
     heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("h_path"), F.expr("substring(content, 1, 65536)").alias("head"))
-    rows = images.select("image.*").join(heads, F.col("origin") == F.col("h_path"), "right").select("h_path", "width", "height", "nChannels", "data", "head")
+    images = images.select("image.*").withColumn("origin", _local("origin"))  # the readers write file paths differently
+    rows = images.join(heads.withColumn("h_path", _local("h_path")), F.col("origin") == F.col("h_path"), "right").select("h_path", "width", "height", "nChannels", "data", "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumicat.functions.pixels import render
+from lumicat.functions.pixels import decode_png, render
 from lumicat.sources.sidecar import merge_and_write, replace_file
 
 OUTCOME = "target string, outcome string, error string"
@@ -104,6 +104,30 @@ def write_sidecars(plan: DataFrame, settings: list[str], force: bool = False) ->
     return plan.select("sidecar", *settings).mapInArrow(run, OUTCOME)
 
 
+def load_mark(path: str) -> np.ndarray:
+    """RGBA of a PNG mark; other kinds of files are refused."""
+    with open(path, "rb") as f:
+        return decode_png(f.read())
+
+
+def mark_images(images: DataFrame, mark: np.ndarray) -> DataFrame:
+    """(target, data) of images (target, width, height, rgb, box): the mark laid over each image's box.
+
+    An image without a box (the mark doesn't fit) is written without the mark.
+    """
+    shared = images.sparkSession.sparkContext.broadcast(mark)  # one picture
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for w, h, rgb, box in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgb", "box"))):
+                marks = [(shared.value, (box["x"], box["y"], box["w"], box["h"]))] if box else []
+                data.append(render(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), marks=marks))
+            yield pa.RecordBatch.from_arrays([batch.column("target"), pa.array(data, pa.binary())], names=["target", "data"])
+
+    return images.select("target", "width", "height", "rgb", "box").mapInArrow(run, "target string, data binary")
+
+
 def render_images(images: DataFrame, long_edge: int | None, downscale_only: bool = False, shadow: float = 0.0) -> DataFrame:
     """(target, data) of images (target, width, height, rgb): resized, shaded, encoded as PNG."""
 

@@ -275,6 +275,31 @@ def test_run(spark, tmp_path):
         P.check_folders(str(source), str(source / "x"))
 
 
+def test_vectors(spark):
+    from lumicat.functions.vectors import vector_bytes, vector_from_bytes
+
+    rows = spark.createDataFrame([([0.6, 0.8], 2), ([0.6, 0.7], 2), ([1.0], 2), (None, 1)], "v array<float>, n int")
+    back = rows.select(vector_from_bytes(vector_bytes(F.col("v")), F.col("n")).alias("x")).collect()
+    assert [r["x"] and [round(a, 6) for a in r["x"]] for r in back] == [[0.6, 0.8], None, None, None]
+
+
+def test_watermark(spark, tmp_path):
+    source, output = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    flat = np.full((200, 300, 3), 77, np.uint8)
+    (source / "a.png").write_bytes(pixels.encode_png(flat))
+    (source / "tiny.png").write_bytes(pixels.encode_png(flat[:8, :8]))
+    (source / "bad.png").write_bytes(b"no image")
+    mark = np.full((8, 16, 4), 255, np.uint8)
+    (tmp_path / "mark.png").write_bytes(pixels.encode_png(mark))
+    assert P.watermark(spark, str(source), str(output), str(tmp_path / "mark.png")) == {"written": 2, "undecodable": 1}
+    out = pixels.decode_png((output / "a.png").read_bytes())
+    assert out.shape == (200, 300, 4) and (out[185:191, 278:291, :3] == 255).all() and (out[:100, :, :3] == 77).all()
+    assert (pixels.decode_png((output / "tiny.png").read_bytes())[..., :3] == 77).all()
+    with pytest.raises(ValueError):
+        pixels.decode_png(b"JPEG")
+
+
 def test_streaming(spark, tmp_path):
     from lumicat import schema
     from lumicat.streaming.ingest import continuous_upsert
