@@ -9,7 +9,7 @@ fingerprints that link, a variant of each is the other's half in at least one of
 
 Rows of one fingerprint are one node, so copies cost nothing after the first aggregation. Of the
 pairs that meet at one key only a minimum spanning forest is put out. A key with over
-``MAX_CHECKS`` pairs to check is dealt out again with the variants of a quarter of the other half
+``MAX_CHECKS`` pairs to check, or ``MAX_HELD`` rows, is dealt out again with the variants of a quarter of the other half
 (at least one of those also holds at most one differing bit), after which at most 2**16
 fingerprints share a key.
 
@@ -35,6 +35,8 @@ WIDTH = 3
 SEED = 42
 MAX_CHECKS = 1 << 28
 BLOCK_CELLS = 1 << 22
+#: Rows of one key that a task holds; of a key with more, all are dealt out again as they come.
+MAX_HELD = 1 << 20
 CHUNK_BYTES = 1 << 20
 
 
@@ -153,7 +155,7 @@ def _rows(out: list[tuple[int, int]], again: list[tuple[int, np.ndarray]]) -> pa
     )
 
 
-def _meet(refine: bool, radius: int, max_checks: int):
+def _meet(refine: bool, radius: int, max_checks: int, max_held: int = MAX_HELD):
     """Reads rows sorted by key; puts out forests of links, and the rows of keys with too many pairs."""
 
     def flush(keys: np.ndarray, fps: np.ndarray, second: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -178,10 +180,16 @@ def _meet(refine: bool, radius: int, max_checks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
+        passing: int | None = None  # a key of which too many rows have come
         for batch in batches:
-            if not batch.num_rows:
-                continue
             now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if passing is not None:
+                n = int((now[0] == passing).sum())
+                yield _rows([], [(passing, now[1][:n])])
+                now = tuple(x[n:] for x in now)
+            if not len(now[0]):
+                continue
+            passing = None
             if held is not None:
                 now = tuple(np.concatenate([x, y]) for x, y in zip(held, now))
             keys, second = now[0], now[2] if len(now) > 2 else None
@@ -190,6 +198,10 @@ def _meet(refine: bool, radius: int, max_checks: int):
             if cut:
                 yield from flush(keys[:cut], now[1][:cut], second[:cut] if second is not None else None)
             held = tuple(x[cut:] for x in now)
+            if refine and len(held[0]) > max_held:
+                passing = int(held[0][0])
+                yield _rows([], [(passing, held[1])])
+                held = None
         if held is not None and len(held[0]):
             yield from flush(held[0], held[1], held[2] if len(held) > 2 else None)
 
@@ -199,7 +211,7 @@ def _meet(refine: bool, radius: int, max_checks: int):
 FOUND = "u long, v long, key long, fp long"
 
 
-def links(distinct_fps: DataFrame, radius: int = RADIUS, max_checks: int = MAX_CHECKS) -> DataFrame:
+def links(distinct_fps: DataFrame, radius: int = RADIUS, max_checks: int = MAX_CHECKS, max_held: int = MAX_HELD) -> DataFrame:
     """(u, v): spanning links among distinct fingerprints (a column ``fp`` of longs)."""
     if not 0 <= radius <= 3:
         raise ValueError("one flipped bit in each half covers radii up to 3")
@@ -214,7 +226,7 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, max_checks: int = MAX_C
     # each row becomes 66, so few small partitions are dealt out first
     spread = distinct_fps.select("fp").repartition(shuffle_partitions(distinct_fps.sparkSession), "fp")
     variants = spread.mapInArrow(emit, "key long, fp long")
-    met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(True, radius, max_checks), FOUND)
+    met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(True, radius, max_checks, max_held), FOUND)
     met = materialise(met, "links")
     again = met.where("key is not null").select("key", "fp").distinct()
 

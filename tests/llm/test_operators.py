@@ -508,8 +508,8 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("max_checks", [simhash.MAX_CHECKS, 4])
-def test_links_lose_nothing(spark, max_checks):
+@pytest.mark.parametrize("options", [{}, {"max_checks": 4}, {"max_held": 3}])
+def test_links_lose_nothing(spark, options):
     """Chains and dense balls of fingerprints, with and without dealing hot keys out again."""
     rng = np.random.default_rng(7)
     fps = set(int(x) for x in rng.integers(0, 2**63, 60))
@@ -527,8 +527,11 @@ def test_links_lose_nothing(spark, max_checks):
     signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
     from lumicat.operators.graph import components
 
-    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), max_checks=max_checks)
-    assert all(bin((r["u"] ^ r["v"]) & (2**64 - 1)).count("1") <= 3 for r in edges.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), **options)
+    found = edges.collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(bin((r["u"] ^ r["v"]) & (2**64 - 1)).count("1") <= 3 for r in found)
     root = {r["node"]: r["root"] for r in components(edges).collect()}
     comp = plain_components(fps)
     for i in range(len(fps)):
