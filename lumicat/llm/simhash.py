@@ -20,11 +20,12 @@ their row; columns beside doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumicat.llm.common import byte_chunks, materialise, shuffle_partitions
@@ -260,39 +261,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 SIMILARITY = 0.8
 SHINGLE = 5
-WORDS = 4
-CACHE_WORDS = 100_000
 BROADCAST_ROWS = 1_000_000
-LONG_WORD = 5
-MIXERS = tuple((2 * i + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1) for i in range(WORDS))
-
-
-def word_fingerprints(text: bytes, cache: dict[bytes, int]) -> list[int]:
-    """Independent fingerprints over the text's distinct long words (all words, if it has few).
-
-    An edit of one word changes one word but five shingles of five words, so fingerprints of words
-    of texts with a shingle similarity of 0.8 differ in few bits.
-    """
-    from xxhash import xxh64_intdigest
-
-    words = set(text.lower().split())
-    chosen = {w for w in words if len(w) >= LONG_WORD}
-    if len(chosen) < 8:
-        chosen = words
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    for w in chosen.difference(cache):
-        cache[w] = xxh64_intdigest(w, SEED)
-    h = np.array([cache[w] for w in chosen], np.uint64)
-    out = []
-    for m in MIXERS:
-        x = h ^ np.uint64(m)
-        x = x * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x = x * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-        out.append(majority(x))
-    return out
+#: Longs of a text's parity bitmap.
+SIGNATURE = 16
+#: One text of so many is counted to see which shingles are frequent, and so many of those are kept.
+SAMPLED, FREQUENT, MIN_SAMPLED = 16, 200_000, 4
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -310,35 +283,78 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def text_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v): links of text keys whose sets of five-word shingles are at least that similar.
+def _need(similarity: float, sizes):
+    """The least overlap of two sets of these sizes in all that are that similar."""
+    return sizes * (similarity / (1 + similarity)) - 1e-6
+
 
-    Candidates are links of any of the word fingerprints; each is verified exactly.
+def prefix(shingles: np.ndarray, frequent: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the total order (times seen in the sample, hash).
+
+    Sets that are similar enough share one of these, whatever the order is; rare ones first keep groups small.
     """
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)  # texts without words meet at one key
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, times[at], 0)
+    keep = n - math.ceil(similarity * n - 1e-6) + 1
+    return shingles[np.lexsort((shingles, rank))[:keep]]
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes by cell: sets differ in at least as many elements as these in bits."""
+    cells = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    return np.packbits(cells.astype(bool), bitorder="little").view(np.int64)
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of the texts, sorted, and how often they are; only speed depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
+            seen = np.concatenate([shingle_set(t) for t in chunk.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64))], names=["shingle"])
+
+    some = docs.where(F.pmod("text_key", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "shingle long")
+    top = some.groupBy("shingle").count().where(F.col("count") >= MIN_SAMPLED).orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()  # at most FREQUENT rows
+    shingles, times = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], times[order]
+
+
+def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
+    """(k, n, prefix, s0..): of each text its number of shingles, their prefix and their signature."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+    names = [f"s{i}" for i in range(SIGNATURE)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
-            fps = np.array([word_fingerprints(t, cache) for t in chunk.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([chunk.column("text_key"), *(pa.array(fps[:, w]) for w in range(WORDS))], names=["text_key", *(f"fp{w}" for w in range(WORDS))])
-
-    printed = docs.select("text_key", "text").mapInArrow(run, "text_key long, " + ", ".join(f"fp{w} long" for w in range(WORDS)))
-    printed = materialise(printed.distinct(), "word-fingerprints")
-    pairs = None
-    for w in range(WORDS):
-        nodes = printed.groupBy(F.col(f"fp{w}").alias("fp")).agg(F.min("text_key").alias("least"))
-        joined = links(nodes)
-        a = nodes.select(F.col("fp").alias("u"), F.col("least").alias("a"))
-        b = nodes.select(F.col("fp").alias("v"), F.col("least").alias("b"))
-        ball_pairs = joined.join(a, "u").join(b, "v").select("a", "b")
-        same = printed.join(nodes, F.col(f"fp{w}") == F.col("fp")).where("text_key <> least").select(F.col("least").alias("a"), F.col("text_key").alias("b"))
-        both = ball_pairs.unionByName(same)
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ends = materialise(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct(), "candidate-ends")
+            sets = [shingle_set(t) for t in chunk.column("text").to_pylist()]
+            first = [prefix(x, *frequent.value, similarity).view(np.int64) for x in sets]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
+            signs = np.array([signature(x) for x in sets])
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([chunk.column("text_key"), sizes, lists, *(pa.array(signs[:, i].copy()) for i in range(SIGNATURE))], names=["k", "n", "prefix", *names])
+
+    return docs.select("text_key", "text").mapInArrow(run, "k long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in names))
+
+
+def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs (a, b) that are similar; those whose signatures rule it out go before texts are read."""
+    left = signs.select(F.col("k").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(SIGNATURE)))
+    right = signs.select(F.col("k").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(SIGNATURE)))
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIGNATURE)), F.lit(0))
+    close = pairs.join(left, "a").join(right, "b").where(F.col("na") + F.col("nb") - apart >= 2 * _need(similarity, F.col("na") + F.col("nb")))
+    close = materialise(close.select("a", "b"), "candidates")
+    ends = materialise(close.select(F.col("a").alias("e")).unionByName(close.select(F.col("b").alias("e"))).distinct(), "candidate-ends")
     texts = docs.select("text_key", "text").join(_small(ends), F.col("text_key") == F.col("e"), "left_semi")
     texts = materialise(texts.dropDuplicates(["text_key"]), "candidate-texts")
-    left = pairs.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
-    full = left.join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    half = close.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
+    full = half.join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in byte_chunks(batches, "text_a", CHUNK_BYTES):
@@ -352,7 +368,42 @@ def text_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             kept = chunk.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["u", "v"])
 
-    return full.mapInArrow(verify, "u long, v long")
+    return materialise(full.mapInArrow(verify, "u long, v long"), "verified")
+
+
+def text_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v): links of text keys whose sets of five-word shingles are at least that similar; their
+    components are those of all such pairs.
+
+    Similar sets share a shingle of their prefixes, so all pairs that share one are candidates, less those
+    that sizes, positions or signatures rule out. Two rounds verify only the pairs of each shingle's
+    texts with one of them; what is left then is every pair of texts that are not yet connected.
+    """
+    shingled = materialise(_shingled(docs, similarity).dropDuplicates(["k"]), "shingled")
+    signs = shingled.drop("prefix")
+    posted = shingled.select("k", "n", F.posexplode("prefix").alias("at", "shingle"))
+    shared = posted.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts")
+    shared = materialise(shared, "shared-shingles").withColumn("c", F.col("k"))
+    sizes = F.col("n") + F.col("n2")
+    possible = (F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _need(similarity, sizes))
+    ordered = (F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
+    out = None
+    for turn in range(3):
+        if turn:
+            found = components(out)
+            shared = shared.drop("c").join(found, F.col("k") == F.col("node"), "left").select("k", "n", "at", "shingle", F.coalesce("root", "k").alias("c"))
+            open_ = shared.groupBy(F.col("shingle").alias("o")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+            shared = materialise(shared.join(open_, F.col("shingle") == F.col("o"), "left_semi"), "open-shingles")
+        if turn < 2:
+            one = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))).alias("m")
+            other = shared.groupBy(F.col("shingle").alias("o")).agg(one).select("o", "m.k2", "m.n2", "m.at2", "m.c2")
+            met = shared.join(other, (F.col("shingle") == F.col("o")) & (F.col("c") != F.col("c2")) & possible)
+        else:
+            other = shared.select(F.col("shingle").alias("o"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
+            met = shared.join(other, (F.col("shingle") == F.col("o")) & (F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & possible)
+        links_now = _verified(materialise(met.select(*ordered).distinct(), "met"), signs, docs, similarity)
+        out = links_now if out is None else out.unionByName(links_now)
+    return out
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

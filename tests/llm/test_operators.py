@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -571,6 +572,32 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_finds_every_pair(spark):
+    """Short texts with one word changed; the same words in another order; a star whose centre is a copy of none."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        base = [f"word{rng.randrange(10**7)}" for _ in range(20)]
+        rows += [base, [*base[:-1], f"last{rng.randrange(10**7)}"]]
+    ordered = [f"other{i}" for i in range(40)]
+    rows += [rng.sample(ordered, 40) for _ in range(6)] + [ordered, [*ordered[:-1], "end"]]
+    near_group = [f"group{i}" for i in range(60)]
+    for _ in range(40):
+        w = list(near_group)
+        for _ in range(rng.choice((1, 2, 3))):
+            w[rng.randrange(60)] = f"edit{rng.randrange(10**7)}"
+        rows.append(w)
+    sets = [set(zip(*(w[k:] for k in range(5)))) for w in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    table = [(i, " ".join(w), "en", "a", 0) for i, w in enumerate(rows)]
+    assert {r["doc_id"] for r in simhash.keep_one(docs(spark, table)).collect()} == set(root)
+
+
 # --- 10 --------------------------------------------------------------------------------------------
 
 
