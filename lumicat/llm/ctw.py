@@ -8,9 +8,9 @@ depths are mixed by how well each codes the training texts. The block probabilit
 counts alone, so training is one distributed count of (context, byte) pairs, and a decision's
 probability mixes the nodes on its path by their posterior weights.
 
-What the corpus gives is counted on executors. The tree, which every worker loads to score with, is
-bounded by ``MAX_PAIRS`` distinct pairs: if the corpus has more at the full depth, the oldest byte of
-context is dropped (counts are summed, none is left out) until it fits.
+What the corpus gives is counted on executors. The depth is the same at every size: the tree, which every
+worker loads to score with, holds all distinct pairs and grows with them. Only a caller that gives
+``max_pairs`` has the oldest byte of context dropped (counts are summed) until so many are left.
 
 Texts are lower-cased (A-Z), start in a context of 0xFF bytes (which no UTF-8 text holds) and end
 in one. Base: add-one unigrams of words and one end token. The most frequent ``HEAD`` tokens'
@@ -40,7 +40,6 @@ from lumicat.llm.common import byte_chunks, materialise, open_fs, scratch_path
 
 DEPTH = 5
 EDGE = 0xFF
-MAX_PAIRS = 3_000_000
 HEAD = 100_000
 END_TOKEN = b" "  # no word holds a blank
 FOLDS, HELD_OUT = 7, 2
@@ -331,14 +330,14 @@ def count_pairs(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def train_tree(texts: DataFrame, depth: int = DEPTH, max_pairs: int = MAX_PAIRS) -> str:
-    """Counts pairs on the executors, shortens contexts until the tree's bound holds, and weights the
-    tree in one task, which writes it to the shared folder; returns its path there."""
+def train_tree(texts: DataFrame, depth: int = DEPTH, max_pairs: int | None = None) -> str:
+    """Counts pairs on the executors and weights the tree in one task, which writes it to the shared
+    folder; returns its path there. Contexts are shortened only for a bound that the caller gives."""
     if not 0 <= depth <= 6:
         raise ValueError("a context has 0 to 6 bytes")
     spark = texts.sparkSession
     pairs = materialise(count_pairs(texts, depth), "ctw-pairs")
-    while depth and pairs.count() > max_pairs:
+    while max_pairs is not None and depth and pairs.count() > max_pairs:
         short = F.col("pair").bitwiseAND(F.lit((1 << (8 * depth)) - 1))
         pairs = materialise(pairs.groupBy(short.alias("pair")).agg(F.sum("n").alias("n")), "ctw-pairs")
         depth -= 1
@@ -353,7 +352,7 @@ def train_tree(texts: DataFrame, depth: int = DEPTH, max_pairs: int = MAX_PAIRS)
         save_tree(build_tree(keys[order], n[order], depth), path)
         yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["pairs"])
 
-    pairs.repartition(1).mapInArrow(build, "pairs long").collect()  # one row; at most max_pairs go in
+    pairs.repartition(1).mapInArrow(build, "pairs long").collect()  # one row
     return path
 
 
@@ -380,7 +379,7 @@ def load_tree(uri: str) -> Tree:
 SCORED = "doc_id long, held_out boolean, row_key long, n_tokens long, n_known long, known_sum double, score double, n_bytes long, rare array<struct<token:binary,n:long>>"
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, max_pairs: int = MAX_PAIRS) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, max_pairs: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes)."""
     spark = docs.sparkSession
     d = docs.select(

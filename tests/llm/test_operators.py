@@ -469,6 +469,14 @@ def test_tree_is_bounded(spark):
     assert tree.depth < 3 and (tree.pair_slots != ctw.EMPTY).sum() <= 100
 
 
+def test_depth_is_the_same_at_every_size(spark):
+    """Over three million distinct pairs leave the depth as it is."""
+    letters = np.random.default_rng(1).integers(97, 123, (400, 9000), np.uint8)
+    texts = spark.createDataFrame([(bytearray(x.tobytes()),) for x in letters], "text binary").repartition(4)
+    tree = ctw.load_tree(ctw.train_tree(texts))
+    assert tree.depth == ctw.DEPTH and (tree.pair_slots != ctw.EMPTY).sum() > 3_000_000
+
+
 # --- 9 ---------------------------------------------------------------------------------------------
 
 
