@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.scratch import materialise
+from lumicat.scratch import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        now = materialise(_small_star(_large_star(now)), "edges")
+        last, now = now, materialise(_small_star(_large_star(now)), "edges")
+        discard(last)
         before, state = state, _state(now)
         if before == state:
             break

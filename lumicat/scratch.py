@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +14,14 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one of our own only where it is unset, as in tests."""
+    """The shared folder of the session; a local one of our own only where it is unset, as in tests.
+
+    A cluster's executors don't share the driver's folders, so there the setting is required.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="lumicat-scratch-")
@@ -36,7 +42,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these tables, once nothing will read them again."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            delete_path(t.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
