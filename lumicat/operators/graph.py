@@ -46,8 +46,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("connected components did not settle")
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
+    found._scratch = now._scratch  # so that discard() takes it
+    return found
 
 
 def global_index(df: DataFrame, *order, name: str = "position") -> DataFrame:
