@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.scratch import delete_path, materialise, scratch_path  # noqa: F401  (used by the operators)
+from lumicat.scratch import delete_path, discard, materialise, scratch_path  # noqa: F401  (used by the operators)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"

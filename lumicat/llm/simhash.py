@@ -8,14 +8,15 @@ fingerprints that link, a variant of each is the other's half in at least one of
 (Balls of radius two in the whole word have 2081 variants each; see the README for figures.)
 
 Rows of one fingerprint are one node, so copies cost nothing after the first aggregation. Of the
-pairs that meet at one key only a minimum spanning forest is put out. A key with over
-``MAX_CHECKS`` pairs to check, or ``MAX_HELD`` rows, is dealt out again with the variants of a quarter of the other half
-(at least one of those also holds at most one differing bit), after which at most 2**16
-fingerprints share a key.
+pairs that meet at one key only a minimum spanning forest is put out. A key with over ``MAX_CHECKS``
+pairs to check, or ``MAX_HELD`` rows, is dealt out again with the variants of each quarter of the other
+half (one of which also holds at most one differing bit), and such a group with those of each eighth of
+the other quarter. What then shares a key agrees in all but 8 bits, save one flipped bit each in the
+half, the quarter and the eighth: at most 33 x 17 x 9 x 256, about 1.3 million, fingerprints.
 
 Defined results: null text is empty; texts without words have fingerprint 0 and link as any
 other; a component is named by its smallest doc_id (null if it has none); repeated rows each get
-their row; columns beside doc_id and text are ignored.
+their row; columns beside doc_id and text are ignored (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import byte_chunks, materialise, shuffle_partitions
+from lumicat.llm.common import byte_chunks, discard, materialise, shuffle_partitions
 from lumicat.operators.graph import components
 
 RADIUS = 3
@@ -98,13 +99,27 @@ def _emit(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.tile(np.repeat(fp, 33), 2)
 
 
-def _emit_again(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First keys, second keys (quarter number, variant of a quarter of the other half), fingerprints."""
+def _emit_again(key: np.ndarray, more: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, more, fingerprint) rows that deal a group out again. ``more`` is 0 for a key of a half; with a
+    mark, the number and the variant of a quarter of the other half; then also those of an eighth of the other quarter."""
     other = 1 - (key >> np.uint64(32)).astype(np.int64)
     rest = np.where(other == 1, _half(fp, 1), _half(fp, 0))
-    quarters = [ball((rest >> np.uint64(16 * q)) & np.uint64(0xFFFF), 16) | np.uint64(q << 16) for q in (0, 1)]
-    more = np.concatenate([q.ravel() for q in quarters])
-    return np.tile(np.repeat(key, 17), 2), more, np.tile(np.repeat(fp, 17), 2)
+    first = more == 0
+    out = []
+    for now, width in ((first, 16), (~first, 8)):
+        if not now.any():
+            continue
+        k, m, f, r = key[now], more[now], fp[now], rest[now]
+        if width == 8:  # the quarter that ``more`` doesn't name
+            r = (r >> (np.uint64(16) * (np.uint64(1) - ((m >> np.uint64(16)) & np.uint64(1))))) & np.uint64(0xFFFF)
+        for q in (0, 1):
+            part = ball((r >> np.uint64(width * q)) & np.uint64((1 << width) - 1), width)
+            if width == 16:
+                code = part | np.uint64(q << 16) | np.uint64(1 << 17)
+            else:
+                code = m[:, None] | (part << np.uint64(20)) | np.uint64(q << 28) | np.uint64(1 << 29)
+            out.append((np.repeat(k, width + 1), code.ravel(), np.repeat(f, width + 1)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def forest(fp: np.ndarray, centre: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -124,7 +139,9 @@ def forest(fp: np.ndarray, centre: np.ndarray, radius: int = RADIUS) -> list[tup
         block = rows[a : a + step]
         d = np.bitwise_count(fp[block][:, None] ^ fp[None, :])
         while True:
-            label = np.array([find(i) for i in range(len(fp))]) if edges else root
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+            label = root
             open_ = np.where((d > radius) | (label[block][:, None] == label[None, :]), np.uint8(255), d)
             col = open_.argmin(1)
             best = open_[np.arange(len(block)), col]
@@ -142,37 +159,34 @@ def forest(fp: np.ndarray, centre: np.ndarray, radius: int = RADIUS) -> list[tup
     return edges
 
 
-def _rows(out: list[tuple[int, int]], again: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    u = np.array([x[0] for x in out], np.int64)
-    v = np.array([x[1] for x in out], np.int64)
-    keys = np.concatenate([np.full(len(x), k, np.int64) for k, x in again]) if again else np.zeros(0, np.int64)
-    fps = np.concatenate([x for _, x in again]) if again else np.zeros(0, np.int64)
-    n, m = len(u), len(keys)
-    null = pa.nulls
-    return pa.RecordBatch.from_arrays(
-        [pa.chunked_array([pa.array(u), null(m, pa.int64())]).combine_chunks(), pa.chunked_array([pa.array(v), null(m, pa.int64())]).combine_chunks(),
-         pa.chunked_array([null(n, pa.int64()), pa.array(keys)]).combine_chunks(), pa.chunked_array([null(n, pa.int64()), pa.array(fps)]).combine_chunks()],
-        names=["u", "v", "key", "fp"],
-    )
+FOUND = "u long, v long, key long, more long, fp long"
 
 
-def _meet(refine: bool, radius: int, max_checks: int, max_held: int = MAX_HELD):
+def _rows(links_: list[tuple[int, int]], again: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    u, v = (pa.array([x[i] for x in links_], pa.int64()) for i in (0, 1))
+    keys, more = (np.concatenate([np.full(len(x[2]), x[i], np.int64) for x in again] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    fps = np.concatenate([x[2] for x in again] or [np.zeros(0, np.int64)])
+    none = pa.nulls(len(keys), pa.int64()), pa.nulls(len(u), pa.int64())
+    whole = [pa.concat_arrays([x, none[0]]) for x in (u, v)] + [pa.concat_arrays([none[1], pa.array(x)]) for x in (keys, more, fps)]
+    return pa.RecordBatch.from_arrays(whole, names=["u", "v", "key", "more", "fp"])
+
+
+def _meet(refine: bool, radius: int, max_checks: int, max_held: int):
     """Reads rows sorted by key; puts out forests of links, and the rows of keys with too many pairs."""
 
-    def flush(keys: np.ndarray, fps: np.ndarray, second: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        new = np.concatenate([[True], (np.diff(keys) != 0) | ((np.diff(second) != 0) if second is not None else False)])
-        starts = np.flatnonzero(new)
+    def flush(keys: np.ndarray, more: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(more) != 0)]))
         sizes = np.diff(np.append(starts, len(keys)))
         word = fps.view(np.uint64)
         half = keys.view(np.uint64) >> np.uint64(32)
         own = np.where(half == 1, _half(word, 1), _half(word, 0)) == (keys.view(np.uint64) & np.uint64(0xFFFFFFFF))
         centres = np.add.reduceat(own.astype(np.int64), starts)
         out: list[tuple[int, int]] = []
-        again: list[tuple[int, np.ndarray]] = []
+        again: list[tuple[int, int, np.ndarray]] = []
         for k in np.flatnonzero((sizes > 1) & (centres > 0)):
             a, b = starts[k], starts[k] + sizes[k]
             if refine and int(centres[k]) * int(sizes[k]) > max_checks:
-                again.append((int(keys[a]), fps[a:b]))
+                again.append((int(keys[a]), int(more[a]), fps[a:b]))
                 continue
             members, first = np.unique(fps[a:b], return_index=True)
             out += [(int(members[i]), int(members[j])) for i, j in forest(members.view(np.uint64), own[a:b][first], radius)]
@@ -180,38 +194,34 @@ def _meet(refine: bool, radius: int, max_checks: int, max_held: int = MAX_HELD):
             yield _rows(out, again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
-        passing: int | None = None  # a key of which too many rows have come
+        held = tuple(np.zeros(0, np.int64) for _ in range(3))
+        passing: tuple[int, int] | None = None  # a key of which too many rows have come
         for batch in batches:
             now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if passing is not None:
-                n = int((now[0] == passing).sum())
-                yield _rows([], [(passing, now[1][:n])])
+                n = int(((now[0] == passing[0]) & (now[1] == passing[1])).sum())
+                if n:
+                    yield _rows([], [(*passing, now[2][:n])])
                 now = tuple(x[n:] for x in now)
             if not len(now[0]):
                 continue
             passing = None
-            if held is not None:
-                now = tuple(np.concatenate([x, y]) for x, y in zip(held, now))
-            keys, second = now[0], now[2] if len(now) > 2 else None
-            last = (keys == keys[-1]) & ((second == second[-1]) if second is not None else True)
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            now = tuple(np.concatenate([x, y]) for x, y in zip(held, now))
+            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
+            cut = len(last) - int(last.sum())
             if cut:
-                yield from flush(keys[:cut], now[1][:cut], second[:cut] if second is not None else None)
+                yield from flush(*(x[:cut] for x in now))
             held = tuple(x[cut:] for x in now)
             if refine and len(held[0]) > max_held:
-                passing = int(held[0][0])
-                yield _rows([], [(passing, held[1])])
-                held = None
-        if held is not None and len(held[0]):
-            yield from flush(held[0], held[1], held[2] if len(held) > 2 else None)
+                passing = int(held[0][0]), int(held[1][0])
+                yield _rows([], [(*passing, held[2])])
+                held = tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield from flush(*held)
 
     return run
 
 
-FOUND = "u long, v long, key long, fp long"
-
-
 def links(distinct_fps: DataFrame, radius: int = RADIUS, max_checks: int = MAX_CHECKS, max_held: int = MAX_HELD) -> DataFrame:
     """(u, v): spanning links among distinct fingerprints (a column ``fp`` of longs)."""
     if not 0 <= radius <= 3:
@@ -222,27 +232,28 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, max_checks: int = MAX_C
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for a in range(0, len(fp), 4096):
                 keys, fps = _emit(fp[a : a + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps.view(np.int64))], names=["key", "fp"])
-
-    # each row becomes 66, so few small partitions are dealt out first
-    spread = distinct_fps.select("fp").repartition(shuffle_partitions(distinct_fps.sparkSession), "fp")
-    variants = spread.mapInArrow(emit, "key long, fp long")
-    met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(True, radius, max_checks, max_held), FOUND)
-    met = materialise(met, "links")
-    again = met.where("key is not null").select("key", "fp").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64)), pa.array(fps.view(np.int64))], names=["key", "more", "fp"])
 
     def emit_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            for a in range(0, len(fp), 4096):
-                k, more, f = _emit_again(key[a : a + 4096], fp[a : a + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, f, more)], names=["key", "fp", "more"])
+            rows = tuple(c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+            for a in range(0, len(rows[0]), 4096):
+                dealt = _emit_again(*(x[a : a + 4096] for x in rows))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in dealt], names=["key", "more", "fp"])
 
-    out = met.where("u is not null").select("u", "v")
-    if not again.isEmpty():
-        deep = again.mapInArrow(emit_again, "key long, fp long, more long").repartition("key", "more").sortWithinPartitions("key", "more", "fp")
-        out = out.unionByName(deep.mapInArrow(_meet(False, radius, max_checks), FOUND).select("u", "v"))
-    return out
+    keyed = "key long, more long, fp long"
+    # each row becomes 66, so few small partitions are dealt out first
+    spread = distinct_fps.select("fp").repartition(shuffle_partitions(distinct_fps.sparkSession), "fp")
+    variants, out = spread.mapInArrow(emit, keyed), None
+    for level in range(3):
+        met = variants.repartition("key", "more").sortWithinPartitions("key", "more", "fp").mapInArrow(_meet(level < 2, radius, max_checks, max_held), FOUND)
+        met = materialise(met, "links")
+        found = met.where("u is not null").select("u", "v")
+        out = found if out is None else out.unionByName(found)
+        again = met.where("key is not null").select("key", "more", "fp").distinct()
+        if level == 2 or again.isEmpty():
+            return out
+        variants = again.mapInArrow(emit_again, keyed)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -266,6 +277,8 @@ BROADCAST_ROWS = 1_000_000
 SIGNATURE = 16
 #: One text of so many is counted to see which shingles are frequent, and so many of those are kept.
 SAMPLED, FREQUENT, MIN_SAMPLED = 16, 200_000, 4
+#: Rounds that join with one text of each shingle go on while there are more unconnected pairs than so many a row.
+PAIRS_PER_ROW, MAX_STARS = 8, 4
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -326,31 +339,36 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
-    """(k, n, prefix, s0..): of each text its number of shingles, their prefix and their signature."""
+    """(k, fp, n, prefix, s0..): of each text its fingerprint, its number of shingles, their prefix and their signature."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     names = [f"s{i}" for i in range(SIGNATURE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
-            sets = [shingle_set(t) for t in chunk.column("text").to_pylist()]
+            hashes = [shingle_hashes(t.lower().split(), SHINGLE) for t in chunk.column("text").to_pylist()]
+            fps = pa.array(np.array([majority(x) for x in hashes], np.uint64).view(np.int64))
+            sets = [np.unique(x) for x in hashes]
             first = [prefix(x, *frequent.value, similarity).view(np.int64) for x in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
             signs = np.array([signature(x) for x in sets])
             sizes = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([chunk.column("text_key"), sizes, lists, *(pa.array(signs[:, i].copy()) for i in range(SIGNATURE))], names=["k", "n", "prefix", *names])
+            yield pa.RecordBatch.from_arrays([chunk.column("text_key"), fps, sizes, lists, *(pa.array(signs[:, i].copy()) for i in range(SIGNATURE))], names=["k", "fp", "n", "prefix", *names])
 
-    return docs.select("text_key", "text").mapInArrow(run, "k long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in names))
+    return docs.select("text_key", "text").mapInArrow(run, "k long, fp long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in names))
 
 
 def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the pairs (a, b) that are similar; those whose signatures rule it out go before texts are read."""
-    left = signs.select(F.col("k").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(SIGNATURE)))
-    right = signs.select(F.col("k").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(SIGNATURE)))
+    pairs = materialise(pairs, "met")
+    ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
+    some = signs.join(_small(ends), F.col("k") == F.col("e"), "left_semi")
+    left = some.select(F.col("k").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(SIGNATURE)))
+    right = some.select(F.col("k").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(SIGNATURE)))
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SIGNATURE)), F.lit(0))
     close = pairs.join(left, "a").join(right, "b").where(F.col("na") + F.col("nb") - apart >= 2 * _need(similarity, F.col("na") + F.col("nb")))
     close = materialise(close.select("a", "b"), "candidates")
-    ends = materialise(close.select(F.col("a").alias("e")).unionByName(close.select(F.col("b").alias("e"))).distinct(), "candidate-ends")
+    ends = close.select(F.col("a").alias("e")).unionByName(close.select(F.col("b").alias("e"))).distinct()
     texts = docs.select("text_key", "text").join(_small(ends), F.col("text_key") == F.col("e"), "left_semi")
     texts = materialise(texts.dropDuplicates(["text_key"]), "candidate-texts")
     half = close.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -368,41 +386,66 @@ def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similarity: f
             kept = chunk.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["u", "v"])
 
-    return materialise(full.mapInArrow(verify, "u long, v long"), "verified")
+    out = materialise(full.mapInArrow(verify, "u long, v long"), "verified")
+    discard(pairs, close, texts)
+    return out
+
+
+def _ball_pairs(shingled: DataFrame) -> DataFrame:
+    """(a, b): texts of one fingerprint with the least of them, and the least texts of fingerprints that link."""
+    nodes = materialise(shingled.groupBy("fp").agg(F.min("k").alias("least")), "text-fingerprints")
+    found = links(nodes)
+    left, right = (nodes.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    between = found.join(left, "u").join(right, "v").select("a", "b")
+    within = shingled.select("fp", "k").join(nodes.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).where("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b"))
+    return between.unionByName(within)
 
 
 def text_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(u, v): links of text keys whose sets of five-word shingles are at least that similar; their
     components are those of all such pairs.
 
-    Similar sets share a shingle of their prefixes, so all pairs that share one are candidates, less those
-    that sizes, positions or signatures rule out. Two rounds verify only the pairs of each shingle's
-    texts with one of them; what is left then is every pair of texts that are not yet connected.
+    First come the pairs whose SimHash fingerprints (of five-word shingles) meet in a ball, verified. A forest
+    of balls can miss pairs behind a link that fails, and similar short texts can lie outside of every ball,
+    so an exact join completes them: similar sets share a shingle of their prefixes, so all pairs of texts that
+    share one and are not yet connected are candidates, less those that sizes, positions or signatures
+    rule out. While these pairs are many for the rows there are, a round joins each shingle's texts with one
+    of them only, and connects what it can; the last round verifies every pair that is left.
     """
     shingled = materialise(_shingled(docs, similarity).dropDuplicates(["k"]), "shingled")
-    signs = shingled.drop("prefix")
-    posted = shingled.select("k", "n", F.posexplode("prefix").alias("at", "shingle"))
-    shared = posted.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts")
-    shared = materialise(shared, "shared-shingles").withColumn("c", F.col("k"))
+    signs = shingled.drop("prefix", "fp")
+    out = _verified(_ball_pairs(shingled), signs, docs, similarity)
+    place = F.col("n").cast("long") * F.lit(1 << 32) + F.col("at")
+    posted = shingled.select("k", "n", F.posexplode("prefix").alias("at", "shingle")).select("k", place.alias("place"), "shingle")
+    of = Window.partitionBy("shingle")
+    shared = posted.withColumn("texts", F.count("*").over(of)).where("texts > 1")
+    shared = materialise(shared.select("k", "shingle", F.expr("cast(shiftright(place, 32) as int)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"), F.col("k").alias("c")), "shared-shingles")
     sizes = F.col("n") + F.col("n2")
     possible = (F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _need(similarity, sizes))
     ordered = (F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
-    out = None
-    for turn in range(3):
-        if turn:
-            found = components(out)
-            shared = shared.drop("c").join(found, F.col("k") == F.col("node"), "left").select("k", "n", "at", "shingle", F.coalesce("root", "k").alias("c"))
-            open_ = shared.groupBy(F.col("shingle").alias("o")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-            shared = materialise(shared.join(open_, F.col("shingle") == F.col("o"), "left_semi"), "open-shingles")
-        if turn < 2:
+    last = False
+    for turn in range(MAX_STARS + 1):
+        found = components(out)
+        named = shared.drop("c").join(found, F.col("k") == F.col("node"), "left").select("k", "n", "at", "shingle", F.coalesce("root", "k").alias("c"))
+        parts = named.groupBy(F.col("shingle").alias("o"), F.col("c").alias("oc")).agg(F.count("*").alias("m"))
+        open_ = parts.groupBy("o").agg(F.count("*").alias("kinds"), F.sum("m").alias("all"), F.sum(F.col("m").cast("double") * F.col("m")).alias("inside")).where("kinds > 1")
+        open_ = materialise(open_, "open")
+        discard(before) if turn else None
+        before, shared = shared, materialise(named.join(open_.select("o"), F.col("shingle") == F.col("o"), "left_semi"), "open-shingles")
+        rows, pairs = open_.agg(F.sum("all"), F.sum((F.col("all").cast("double") * F.col("all") - F.col("inside")) / 2)).first()  # one row
+        last = turn == MAX_STARS or (pairs or 0) <= PAIRS_PER_ROW * (rows or 0)
+        if last:
+            other = shared.select(F.col("shingle").alias("o"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
+            met = shared.join(other, (F.col("shingle") == F.col("o")) & (F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & possible)
+        else:
             one = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))).alias("m")
             other = shared.groupBy(F.col("shingle").alias("o")).agg(one).select("o", "m.k2", "m.n2", "m.at2", "m.c2")
             met = shared.join(other, (F.col("shingle") == F.col("o")) & (F.col("c") != F.col("c2")) & possible)
-        else:
-            other = shared.select(F.col("shingle").alias("o"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
-            met = shared.join(other, (F.col("shingle") == F.col("o")) & (F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & possible)
-        links_now = _verified(materialise(met.select(*ordered).distinct(), "met"), signs, docs, similarity)
-        out = links_now if out is None else out.unionByName(links_now)
+        out = out.unionByName(_verified(met.select(*ordered).distinct(), signs, docs, similarity))
+        discard(found, open_)
+        if last:
+            break
+    discard(shared, before, shingled)
     return out
 
 
