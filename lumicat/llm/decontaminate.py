@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import ALNUM_TABLE, byte_chunks
+from lumicat.llm.common import ALNUM_TABLE, byte_chunks, frugal
 
 WINDOW = 10
 SAMPLE = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 PATTERNS_AT_ONCE = 8192
 MAX_BENCHMARK_WORDS = 20_000_000
 SENTINEL, SEPARATOR, FIRST_WORD = 0, 1, 2
@@ -304,7 +304,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return d.mapInArrow(run, HITS)
+    return d.mapInArrow(frugal(run), HITS)
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -353,4 +353,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
                 chunk = chunk.filter(pa.array([i not in gone for i in range(len(texts))]))
             yield chunk
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumicat.llm.common import byte_chunks, materialise
+from lumicat.llm.common import byte_chunks, frugal, materialise
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -174,7 +174,7 @@ def map_slots(plan: DataFrame, seed: int = SEED) -> DataFrame:
                     )
 
     spread = plan.repartition(max(1, plan.sparkSession.sparkContext.defaultParallelism), "shard", "source_no")
-    return spread.mapInArrow(run, SLOTS)
+    return spread.mapInArrow(frugal(run), SLOTS)
 
 
 def pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -267,4 +267,4 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
                 columns[k] = pa.array([len(t) for t in cut], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spread.mapInArrow(run, docs.schema)
+    return spread.mapInArrow(frugal(run), docs.schema)

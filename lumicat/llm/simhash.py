@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import byte_chunks, discard, materialise, shuffle_partitions
+from lumicat.llm.common import byte_chunks, discard, frugal, materialise, shuffle_partitions
 from lumicat.operators.graph import components
 
 RADIUS = 3
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fps = np.array([fingerprint(t, width) for t in chunk.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def ball(values: np.ndarray, bits: int) -> np.ndarray:
@@ -244,16 +244,16 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, max_checks: int = MAX_C
     keyed = "key long, more long, fp long"
     # each row becomes 66, so few small partitions are dealt out first
     spread = distinct_fps.select("fp").repartition(shuffle_partitions(distinct_fps.sparkSession), "fp")
-    variants, out = spread.mapInArrow(emit, keyed), None
+    variants, out = spread.mapInArrow(frugal(emit), keyed), None
     for level in range(3):
-        met = variants.repartition("key", "more").sortWithinPartitions("key", "more", "fp").mapInArrow(_meet(level < 2, radius, max_checks, max_held), FOUND)
+        met = variants.repartition("key", "more").sortWithinPartitions("key", "more", "fp").mapInArrow(frugal(_meet(level < 2, radius, max_checks, max_held)), FOUND)
         met = materialise(met, "links")
         found = met.where("u is not null").select("u", "v")
         out = found if out is None else out.unionByName(found)
         again = met.where("key is not null").select("key", "more", "fp").distinct()
         if level == 2 or again.isEmpty():
             return out
-        variants = again.mapInArrow(emit_again, keyed)
+        variants = again.mapInArrow(frugal(emit_again), keyed)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -331,7 +331,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             seen = np.concatenate([shingle_set(t) for t in chunk.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64))], names=["shingle"])
 
-    some = docs.where(F.pmod("text_key", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "shingle long")
+    some = docs.where(F.pmod("text_key", F.lit(SAMPLED)) == 0).select("text").mapInArrow(frugal(run), "shingle long")
     top = some.groupBy("shingle").count().where(F.col("count") >= MIN_SAMPLED).orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()  # at most FREQUENT rows
     shingles, times = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(shingles)
@@ -355,7 +355,7 @@ def _shingled(docs: DataFrame, similarity: float) -> DataFrame:
             sizes = pa.array([len(x) for x in sets], pa.int32())
             yield pa.RecordBatch.from_arrays([chunk.column("text_key"), fps, sizes, lists, *(pa.array(signs[:, i].copy()) for i in range(SIGNATURE))], names=["k", "fp", "n", "prefix", *names])
 
-    return docs.select("text_key", "text").mapInArrow(run, "k long, fp long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in names))
+    return docs.select("text_key", "text").mapInArrow(frugal(run), "k long, fp long, n int, prefix array<long>, " + ", ".join(f"{s} long" for s in names))
 
 
 def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -386,7 +386,7 @@ def _verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame, similarity: f
             kept = chunk.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["u", "v"])
 
-    out = materialise(full.mapInArrow(verify, "u long, v long"), "verified")
+    out = materialise(full.mapInArrow(frugal(verify), "u long, v long"), "verified")
     discard(pairs, close, texts)
     return out
 

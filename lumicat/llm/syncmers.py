@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import shuffle_partitions
+from lumicat.llm.common import frugal, shuffle_partitions
 
 K, S, SIZE = 16, 8, 64
 BASE = 0x9E3779B97F4A7C15
@@ -205,4 +205,4 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     )
     dealt = d.select("span", F.lit(False).alias("tail"), "doc_id", "text").unionByName(tails)
     ordered = dealt.repartitionById(max(spans) + 1, F.col("span")).sortWithinPartitions("span", "tail", F.desc("doc_id"), "text")
-    return ordered.mapInArrow(_fingerprint, OUT)
+    return ordered.mapInArrow(frugal(_fingerprint), OUT)

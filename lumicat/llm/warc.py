@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import delete_path, materialise, open_fs, scratch_path
+from lumicat.llm.common import delete_path, frugal, materialise, open_fs, scratch_path
 
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -164,7 +164,7 @@ def write_monolithic(
             close()
         yield _manifest(made)
 
-    return materialise(joined.mapInArrow(write, MANIFEST), "warc-manifest")
+    return materialise(joined.mapInArrow(frugal(write), MANIFEST), "warc-manifest")
 
 
 def _manifest(made: list[tuple[str, int, int]]) -> pa.RecordBatch:
@@ -259,7 +259,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
             yield _manifest(made)
 
     spread = manifest.repartition(_tasks(manifest), "archive")
-    return materialise(spread.mapInArrow(run, MANIFEST), "warc-normalised")
+    return materialise(spread.mapInArrow(frugal(run), MANIFEST), "warc-normalised")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -297,7 +297,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             rows.append((page, size, digest, kind, refers, uri, archive, line["offset"], line["length"], ok))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RECORD_TYPES)], names=_RECORD_NAMES)
 
-    return manifest.repartition(_tasks(manifest), "archive").mapInArrow(run, RECORDS)
+    return manifest.repartition(_tasks(manifest), "archive").mapInArrow(frugal(run), RECORDS)
 
 
 _RECORD_NAMES = [x.strip().split(" ")[0] for x in RECORDS.split(",")]
