@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -352,17 +353,35 @@ def test_toxicity_chain(spark):
     assert toxicity.classify(docs(spark, []), lab).count() == 0
 
 
-def test_chain_uses_earlier_probabilities():
+def test_chain_uses_earlier_probabilities(spark):
     rng = np.random.default_rng(0)
-    texts, y = [], []
+    rows, labels = [], []
     for i in range(400):
         first = rng.random() < 0.5
-        texts.append((b"alpha " if first else b"beta ") + b" ".join(b"w%d" % k for k in rng.integers(0, 50, 10)))
-        y.append([float(first), float(first)])
-    chain = toxicity.train_chain(texts, np.array(y), ["one", "two"])
+        rows.append((i, ("alpha " if first else "beta ") + " ".join(f"w{k}" for k in rng.integers(0, 50, 10)), "en", "a", 0))
+        labels.append((i, int(first), int(first)))
+    lab = spark.createDataFrame(labels, "doc_id long, one int, two int")
+    chain = toxicity.fit(docs(spark, rows), lab, (("one", "one", 1), ("two", "two", 1)))
     assert len(chain.links[0]) == 0 and chain.links[1][0] > 0.1
 
 
+def test_features_are_chosen_within_folds():
+    """A feature that only fold 0 tells by is in no set that leaves fold 0 out."""
+    has, hits = np.array([[10.0, 0, 0], [4, 4, 4]]), np.zeros((2, 3, 1))
+    hits[0, 0], hits[1, :, 0] = 10, 4
+    mask, _ = toxicity.chosen_for(has, hits, np.array([100.0, 100, 100]), np.array([[20.0], [20], [20]]))
+    assert mask[0] == 0b1101 and mask[1] == 0b1111
+
+
+def test_likelihood_ratio():
+    def plain(a, b, c, d):
+        n, total = [[a, b], [c, d]], a + b + c + d
+        return 2 * sum(n[i][j] * math.log(n[i][j] * total / (sum(n[i]) * (n[0][j] + n[1][j]))) for i in (0, 1) for j in (0, 1) if n[i][j])
+
+    for a, b, c, d in ((3, 0, 7, 90), (5, 5, 20, 70), (0, 4, 10, 86)):
+        assert np.isclose(toxicity.likelihood_ratio(np.array([float(a + b)]), np.array([float(a)]), a + b + c + d, a + c)[0], plain(a, b, c, d))
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
@@ -419,41 +438,67 @@ def plain_ctw(train, texts, depth):
     return out
 
 
+def counted(train, more, depth):
+    """Sorted pairs of all texts, counted over the training texts."""
+    n = Counter(np.concatenate([ctw.coded_keys([t], depth)[0] for t in train] or [np.zeros(0, np.uint64)]).tolist())
+    keys = np.unique(np.concatenate([ctw.coded_keys([t], depth)[0] for t in [*train, *more]]))
+    return keys, np.array([n[k] for k in keys.tolist()], np.int64)
+
+
+def whole_tree(pairs, n, depth):
+    """Costs of all pairs by one subtree that is the whole tree."""
+    nodes = np.sort(ctw.subtree_blocks(pairs, n, 0, depth)[0])
+    return ctw._slots(pairs, ctw.subtree_costs(pairs, n, 0, depth, (nodes, np.zeros(len(nodes)), np.ones(len(nodes)))))
+
+
+TRAIN = [b"abracadabra", b"ABBA \xc3\xa9", b"", b"abracadabra and more abracadabra", b"z" * 40]
+UNSEEN = [b"abra kadabra", b"\x00\xf0", b""]
+
+
 @pytest.mark.parametrize("depth", [0, 1, 2, 3])
 def test_context_tree(depth):
-    train = [b"abracadabra", b"ABBA \xc3\xa9", b"", b"abracadabra and more abracadabra", b"z" * 40]
-    texts = train + [b"abra kadabra", b"\x00\xf0", b""]
-    pairs, n = ctw.count_keys(np.concatenate([ctw.coded_keys([t], depth)[0] for t in train]))
-    tree = ctw.build_tree(pairs, n, depth)
-    got = ctw.log10_probabilities(tree, texts)
-    assert np.allclose(got, plain_ctw(train, texts, depth), rtol=1e-5, atol=1e-4)
+    got = ctw.log10_probabilities(whole_tree(*counted(TRAIN, UNSEEN, depth), depth), TRAIN + UNSEEN, depth)
+    assert np.allclose(got, plain_ctw(TRAIN, TRAIN + UNSEEN, depth), rtol=1e-9)
 
 
-def test_probabilities_sum_to_one():
-    pairs, n = ctw.count_keys(ctw.coded_keys([b"some text, some more text"], 2)[0])
-    tree = ctw.build_tree(pairs, n, 2)
-    for context in (b"so", b"qq", b"\xff\xff"):
-        keys = np.array([(context[0] << 16) | (context[1] << 8) | b for b in range(256)], np.uint64)
-        assert abs((10 ** ctw.costs_of(tree, keys)).sum() - 1) < 1e-5
+@pytest.mark.parametrize("depth, split", [(5, 3), (5, 1), (4, 2), (2, 3), (3, 0), (0, 3)])
+def test_distributed_tree(spark, depth, split):
+    """Subtrees and the levels above them give what the plain tree gives."""
+    pairs, n = counted(TRAIN, UNSEEN, depth)
+    df = spark.createDataFrame(list(zip(pairs.view(np.int64).tolist(), n.tolist())), "pair long, n long").repartition(3)
+    got = ctw.pair_costs(df, depth, split).toArrow()
+    slots = ctw._slots(got["pair"].to_numpy().view(np.uint64), got["cost"].to_numpy())
+    assert np.allclose(ctw.log10_probabilities(slots, TRAIN + UNSEEN, depth), plain_ctw(TRAIN, TRAIN + UNSEEN, depth), rtol=1e-9)
 
 
-@pytest.mark.parametrize("head", [100_000, 5])
-def test_scores(spark, head):
-    rows = odd_rows()
+def test_probabilities_sum_to_one():
+    train = [b"some text, some more text"]
+    seen, _ = ctw.count_keys(ctw.coded_keys(train, 2)[0])
+    contexts = [(c[0] << 16) | (c[1] << 8) for c in (b"so", b"qq", b"\xff\xff")]
+    keys = np.union1d(seen, np.array([c | b for c in contexts for b in range(256)], np.uint64))
+    n = Counter(ctw.coded_keys(train, 2)[0].tolist())
+    slots = whole_tree(keys, np.array([n[k] for k in keys.tolist()], np.int64), 2)
+    for c in contexts:
+        assert abs((10 ** ctw.costs_of(slots, np.array([c | b for b in range(256)], np.uint64))).sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("options", [{}, {"head": 5, "most_pairs": 300}])
+def test_scores(spark, options):
+    rows = [*odd_rows(), (1000, "w" * 300 + " and again " + "w" * 300, "en", "a", 0)]  # a word too long to be sent out
     ids = ["" if r[0] is None else str(r[0]) for r in rows]
     held = [zlib.crc32(i.encode()) % 7 == 2 for i in ids]
     tokens = [[*TOKEN.findall(low(r[1])), " "] for r in rows]
     c = Counter(t for h, ts in zip(held, tokens) if not h for t in ts)
     total, v = sum(c.values()), len(c)
     raw = [(r[1] or "").encode() for r in rows]
-    pairs, n = ctw.count_keys(np.concatenate([ctw.coded_keys([t], ctw.DEPTH)[0] for t, h in zip(raw, held) if not h]))
-    scores = ctw.log10_probabilities(ctw.build_tree(pairs, n, ctw.DEPTH), raw)
+    pairs, n = counted([t for t, h in zip(raw, held) if not h], raw, ctw.DEPTH)
+    scores = ctw.log10_probabilities(whole_tree(pairs, n, ctw.DEPTH), raw, ctw.DEPTH)
     want = sorted(((r[0], h, len(t), sum(c[x] > 0 for x in t), total) for r, h, t in zip(rows, held, tokens)), key=repr)
-    out = ctw.score_documents(docs(spark, rows), head=head)
+    out = ctw.score_documents(docs(spark, rows), **options)
     assert rows_of(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens") == want
     sums = sorted(sum(math.log10((c[x] + 1) / (total + v + 1)) for x in t) for t in tokens)
     assert np.allclose(sorted(r["base_score"] for r in out.collect()), sums)
-    assert np.allclose(sorted(r["score"] for r in out.collect()), np.sort(scores), rtol=1e-5, atol=1e-3)
+    assert np.allclose(sorted(r["score"] for r in out.collect()), np.sort(scores), rtol=1e-9)
 
 
 def test_scores_of_nothing(spark):
@@ -463,18 +508,13 @@ def test_scores_of_nothing(spark):
     assert {r["train_tokens"] for r in out} == {0} and all(math.isfinite(r["score"]) for r in out)
 
 
-def test_tree_is_bounded(spark):
-    texts = docs(spark, clash=False).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    tree = ctw.load_tree(ctw.train_tree(texts, 3, 100))
-    assert tree.depth < 3 and (tree.pair_slots != ctw.EMPTY).sum() <= 100
-
-
-def test_depth_is_the_same_at_every_size(spark):
-    """Over three million distinct pairs leave the depth as it is."""
-    letters = np.random.default_rng(1).integers(97, 123, (400, 9000), np.uint8)
-    texts = spark.createDataFrame([(bytearray(x.tobytes()),) for x in letters], "text binary").repartition(4)
-    tree = ctw.load_tree(ctw.train_tree(texts))
-    assert tree.depth == ctw.DEPTH and (tree.pair_slots != ctw.EMPTY).sum() > 3_000_000
+def test_whole_groups():
+    rng = np.random.default_rng(2)
+    g = np.sort(np.concatenate([rng.integers(0, 50, 3000), np.full(5000, 45)]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(g[a : a + 100]), pa.array(np.arange(a, a + len(g[a : a + 100])))], names=["g", "i"]) for a in range(0, len(g), 100)]
+    runs = list(ctw.whole_groups(iter(batches), 400))
+    assert np.array_equal(np.concatenate([x[1] for x in runs]), np.arange(len(g)))
+    assert all(a[0][-1] != b[0][0] for a, b in zip(runs, runs[1:])) and len(runs) > 5
 
 
 # --- 9 ---------------------------------------------------------------------------------------------
