@@ -3,12 +3,16 @@
 The categories are predicted one after another: the model of each takes the words of a text and
 the probabilities (as log-odds) of the categories before it. While training, those come from
 out-of-fold predictions, so that a later model learns from probabilities as uncertain as the
-ones it meets afterwards. Features are the distinct words of the whole text and their first
-``PREFIXES`` bytes, kept if they go with a label in the sample. The threshold of a
-category is the one with the best F1 over the out-of-fold probabilities.
+ones it meets afterwards. Features are the distinct
+words of the whole text and their first ``PREFIXES`` bytes, hashed, and kept if they go with a label by a
+likelihood-ratio test. The test is part of the training: a fold's prediction uses features that were
+chosen on the other folds only. The threshold of a category is the one with the best F1 over the
+out-of-fold probabilities.
 
 Training takes a bounded sample: ``MAX_TRAINING`` labelled documents with the smallest hash of
-doc_id. Every document is scored, over its whole text, in one pass without a shuffle.
+doc_id, of whose features the ``MAX_FEATURES`` that tell most may be used. Features are counted on executors;
+the driver gets the chosen ones and each sampled row's numbers of these. Every document is scored, over
+its whole text, in one pass without a shuffle.
 
 Defined results: null text is empty and gets the prior of each category; documents with a null
 label are not trained on; several labels of a document count as their maximum; without labels
@@ -18,7 +22,6 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import ALNUM_TABLE, byte_chunks
+from lumicat.llm.common import ALNUM_TABLE, byte_chunks, discard, frugal, materialise, release_memory
 
 #: Chain order: label column and the value that makes the category true.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
@@ -35,6 +38,7 @@ MAX_TRAINING = 6000
 MIN_DOCS = 3
 #: Likelihood-ratio statistic (one degree of freedom) from which a feature is kept.
 MIN_G = 20.0
+MAX_FEATURES = 200_000
 PREFIXES = (4, 5, 6)
 FOLDS = 3
 RIDGE = 1.0
@@ -46,9 +50,17 @@ def text_words(text: bytes) -> set[bytes]:
     return set(text.lower().translate(ALNUM_TABLE).split())
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word and its prefixes, marked so that no prefix equals a word."""
-    return [word] + [b"%d^%b" % (n, word[:n]) for n in PREFIXES if len(word) >= n]
+def features_of(word: bytes) -> list[int]:
+    """Hashes of the word and of its prefixes, marked so that no prefix equals a word."""
+    from xxhash import xxh64_intdigest
+
+    return [xxh64_intdigest(word)] + [xxh64_intdigest(b"%d^%b" % (n, word[:n])) for n in PREFIXES if len(word) >= n]
+
+
+def text_features(text: bytes) -> np.ndarray:
+    """Sorted distinct features of a text."""
+    found = {f for w in text_words(text) for f in features_of(w)}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
 class Rows:
@@ -119,14 +131,16 @@ def fit_linear(x: Rows, extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE,
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The midpoint threshold with the largest F1; 0.5 without positive labels."""
+    """The midpoint threshold with the largest F1 of those that are right at least half of the time; 0.5 if there is none."""
     if not y.sum():
         return 0.5
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    hit, called = np.cumsum(y[order]), np.arange(1, len(y) + 1)
     last = np.append(np.diff(p[order]) != 0, True)  # ties stay together
-    k = int(np.argmax(np.where(last, f1, -1)))
+    f1 = np.where(last & (2 * hit >= called), 2 * hit / (called + y.sum()), -1)
+    k = int(np.argmax(f1))
+    if f1[k] <= 0:
+        return 0.5
     below = p[order][k + 1] if k + 1 < len(y) else 0.0
     return float((p[order][k] + below) / 2)
 
@@ -134,7 +148,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 @dataclass
 class Chain:
     names: list[str]
-    weights: dict[bytes, np.ndarray]
+    weights: dict[int, np.ndarray]
     links: list[np.ndarray]
     bias: list[float]
     thresholds: list[float]
@@ -158,64 +172,64 @@ class Chain:
         return out
 
 
-def telling_features(docs: list[np.ndarray], n_features: int, labels: np.ndarray) -> list[np.ndarray]:
-    """Per category, features of ``MIN_DOCS`` texts or more that go with its label by a likelihood-ratio test.
-
-    A linear sum over all words of a long text would drown its telling ones.
-    """
-    total, has = float(len(docs)), np.zeros(n_features)
-    hits = np.zeros((labels.shape[1], n_features))
-    for d, y in zip(docs, labels):  # a text has each feature once
-        has[d] += 1
-        hits[np.flatnonzero(y)[:, None], d] += 1
+def likelihood_ratio(has: np.ndarray, hits: np.ndarray, total: float, positive: float) -> np.ndarray:
+    """The statistic of features that ``has`` texts have, ``hits`` of them with the label."""
 
     def part(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(count > 0, count * np.log(np.maximum(count, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
 
-    chosen = []
-    for c in range(labels.shape[1]):
-        positive = float(labels[:, c].sum())
-        a = hits[c]
-        cells = ((a, has, positive), (has - a, has, total - positive), (positive - a, total - has, positive), (total - positive - has + a, total - has, total - positive))
-        g = 2 * sum(part(count, r * k / total) for count, r, k in cells)
-        chosen.append(np.flatnonzero((g >= MIN_G) & (has >= MIN_DOCS)))
-    return chosen
+    cells = ((hits, has, positive), (has - hits, has, total - positive), (positive - hits, total - has, positive), (total - positive - has + hits, total - has, total - positive))
+    return 2 * sum(part(count, r * k / total) for count, r, k in cells)
 
 
-def train_chain(texts: list[bytes], labels: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
-    """Fit the chain on texts and their 0/1 labels (rows by categories); folds by row number."""
-    numbers: dict[bytes, int] = {}
-    docs = []
-    for t in texts:  # sorted, so that reruns number alike
-        found = {numbers.setdefault(f, len(numbers)) for w in sorted(text_words(t)) for f in features_of(w)}
-        docs.append(np.sort(np.fromiter(found, np.int32, len(found))))
-    selected = telling_features(docs, len(numbers), labels)
-    keep = set(np.concatenate([np.zeros(0, np.int64), *selected]).tolist())
-    feature = {i: f for f, i in numbers.items() if i in keep}
-    n_features = len(numbers)
-    del numbers
-    fold = np.arange(len(docs)) % folds
-    earlier = np.zeros((len(docs), 0))
-    weights: dict[bytes, np.ndarray] = {}
+def chosen_for(has: np.ndarray, hits: np.ndarray, totals: np.ndarray, positives: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, largest statistic) of features, from counts by fold (features x folds; x categories; folds; folds x categories).
+
+    Bit ``s * categories + c`` says that the feature tells category c in training set s: 0 is all
+    folds, k + 1 all but fold k.
+    """
+    folds, categories = positives.shape
+    mask, most = np.zeros(len(has), np.int64), np.zeros(len(has))
+    for s in range(folds + 1):
+        use = np.arange(folds) != s - 1
+        n = has[:, use].sum(1)
+        for c in range(categories):
+            if totals[use].sum():
+                g = likelihood_ratio(n, hits[:, use, c].sum(1), float(totals[use].sum()), float(positives[use, c].sum()))
+                tells = (g >= MIN_G) & (n >= MIN_DOCS)
+                mask |= tells.astype(np.int64) << (s * categories + c)
+                most = np.maximum(most, np.where(tells, g, 0.0))
+    return mask, most
+
+
+def train_chain(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, features: np.ndarray, mask: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
+    """Fit the chain on rows of feature numbers and their 0/1 labels (rows by categories)."""
+    earlier = np.zeros((len(rows), 0))
+    weights: dict[int, np.ndarray] = {}
     links, bias, thresholds = [], [], []
-    for c, chosen in enumerate(selected):
-        local = np.full(n_features, -1, np.int64)
+
+    def part(of: np.ndarray, s: int, c: int) -> Rows:
+        chosen = np.flatnonzero(mask >> (s * len(names) + c) & 1)
+        local = np.full(len(features), -1, np.int64)
         local[chosen] = np.arange(len(chosen))
-        rows = [(r := local[d])[r >= 0] for d in docs]
-        ids = range(len(chosen))
+        return Rows([(r := local[rows[i]])[r >= 0] for i in of], len(chosen))
+
+    for c in range(len(names)):
         y = labels[:, c].astype(float)
-        out_of_fold = np.zeros(len(y))
+        out_of_fold = np.full(len(y), 0.5)
         for k in range(folds):
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if not len(train) or not len(test):
                 continue
-            p = fit_linear(Rows([rows[i] for i in train], len(ids)), earlier[train], y[train])
-            z = Rows([rows[i] for i in test], len(ids)).dot(p[: len(ids)]) + earlier[test] @ p[len(ids) : -1] + p[-1]
+            x = part(train, k + 1, c)
+            p = fit_linear(x, earlier[train], y[train])
+            z = part(test, k + 1, c).dot(p[: x.width]) + earlier[test] @ p[x.width : -1] + p[-1]
             out_of_fold[test] = sigmoid(z)
-        p = fit_linear(Rows(rows, len(ids)), earlier, y)
-        for i, k in enumerate(chosen.tolist()):
-            weights.setdefault(feature[k], np.zeros(len(names)))[c] = p[i]
-        links.append(p[len(ids) : -1])
+        x = part(np.arange(len(y)), 0, c)
+        p = fit_linear(x, earlier, y)
+        for i, k in enumerate(np.flatnonzero(mask >> c & 1).tolist()):
+            weights.setdefault(int(features[k]), np.zeros(len(names)))[c] = p[i]
+        links.append(p[x.width : -1])
         bias.append(float(p[-1]))
         thresholds.append(best_threshold(out_of_fold, y))
         earlier = np.column_stack([earlier, log_odds(out_of_fold)])
@@ -223,22 +237,72 @@ def train_chain(texts: list[bytes], labels: np.ndarray, names: list[str], folds:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, chain=CHAIN, most: int = MAX_TRAINING) -> DataFrame:
-    """Labelled texts with the smallest hashes of doc_id, ``most`` of them."""
+    """(t_doc, t_fold, t_y, t_features): labelled texts with the smallest hashes of doc_id, ``most`` of them."""
     columns = sorted({c for _, c, _ in chain})
-    known = labels.groupBy("doc_id").agg(*(F.max(c).alias(f"l_{c}") for c in columns)).where("doc_id is not null")
-    known = known.dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "l_doc")
+    known = labels.select("doc_id", *columns).groupBy(F.col("doc_id").alias("l_doc")).agg(*(F.max(c).alias(f"l_{c}") for c in columns)).where("l_doc is not null")
+    known = known.dropna().orderBy(F.xxhash64("l_doc"), "l_doc").limit(most)
+    known = known.select("l_doc", F.array(*((F.col(f"l_{c}") == F.lit(v)).cast("int") for _, c, v in chain)).alias("l_y"))
     picked = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_doc"))
-    return picked.groupBy("doc_id", *(f"l_{c}" for c in columns)).agg(F.min("text").alias("text"))
+    picked = picked.groupBy("l_doc", "l_y").agg(F.min("text").alias("text"))  # of rows with one id, the least text
+    fold = F.pmod(F.xxhash64("l_doc", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    d = picked.select(F.col("l_doc").cast("long").alias("t_doc"), fold.alias("t_fold"), F.col("l_y").alias("t_y"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in byte_chunks(batches, "text", 1 << 20):
+            found = [text_features(t) for t in chunk.column("text").to_pylist()]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in ("t_doc", "t_fold", "t_y")), lists], names=["t_doc", "t_fold", "t_y", "t_features"])
+
+    return materialise(d.mapInArrow(frugal(run), "t_doc long, t_fold int, t_y array<int>, t_features array<long>"), "toxicity-sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, most: int = MAX_TRAINING) -> Chain:
-    # at most ``most`` rows
-    rows = sorted(training_sample(docs, labels, chain, most).collect(), key=lambda r: r["doc_id"])
+def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, most: int = MAX_TRAINING, max_features: int = MAX_FEATURES) -> Chain:
+    if most >= 1 << 20:
+        raise ValueError("counts of a fold are packed in 20 bits")
     names = [n for n, _, _ in chain]
-    if not rows:
+    sample = training_sample(docs, labels, chain, most)
+    sums = sample.groupBy("t_fold").agg(F.count("*").alias("n"), *(F.sum(F.col("t_y")[c]).alias(f"y{c}") for c in range(len(names)))).collect()  # a row for each fold
+    if not sums:
         return Chain(names, {}, [np.zeros(c) for c in range(len(names))], [-40.0] * len(names), [0.5] * len(names))
-    y = np.array([[float(r[f"l_{c}"] == v) for _, c, v in chain] for r in rows])
-    return train_chain([(r["text"] or "").encode() for r in rows], y, names)
+    totals, positives = np.zeros(FOLDS), np.zeros((FOLDS, len(names)))
+    for r in sums:
+        totals[r["t_fold"]], positives[r["t_fold"]] = r["n"], [r[f"y{c}"] for c in range(len(names))]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(1 + len(names))]
+            has, *hits = ((x[:, None] >> (20 * np.arange(FOLDS))) & ((1 << 20) - 1) for x in packed)
+            mask, most_ = chosen_for(has.astype(float), np.stack(hits, 2).astype(float), totals, positives)
+            keep = np.flatnonzero(mask)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(mask[keep]), pa.array(most_[keep])], names=["feature", "mask", "g"])
+
+    one = F.expr("shiftleft(1L, 20 * t_fold)")
+    seen = sample.select(one.alias("one"), "t_y", F.explode("t_features").alias("feature"))
+    counts = seen.groupBy("feature").agg(F.sum("one").alias("has"), *(F.sum(F.col("one") * F.col("t_y")[c]).alias(f"h{c}") for c in range(len(names))))
+    telling = counts.mapInArrow(frugal(choose), "feature long, mask long, g double").orderBy(F.desc("g"), "feature").limit(max_features).toArrow()  # at most ``max_features``
+    features = telling["feature"].to_numpy().view(np.uint64)
+    order = np.argsort(features)
+    features, mask = features[order], telling["mask"].to_numpy()[order]
+    shared = docs.sparkSession.sparkContext.broadcast(features)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            found = []
+            for x in batch.column("t_features"):
+                at = np.flatnonzero(np.isin(known, x.values.to_numpy().view(np.uint64), assume_unique=True)) if len(x.values) else np.zeros(0, np.int64)
+                found.append(at.astype(np.int32))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t_doc", "t_fold", "t_y")), lists], names=["t_doc", "t_fold", "t_y", "numbers"])
+
+    rows = sample.mapInArrow(frugal(number), "t_doc long, t_fold int, t_y array<int>, numbers array<int>").toArrow().sort_by("t_doc")  # at most ``most`` rows
+    discard(sample)
+    numbers = [np.asarray(x.values.to_numpy(), np.int64) for x in rows["numbers"]]
+    model = train_chain(numbers, np.array(rows["t_y"].to_pylist(), float), rows["t_fold"].to_numpy(), features, mask, names)
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Chain) -> DataFrame:
@@ -254,7 +318,7 @@ def score(docs: DataFrame, model: Chain) -> DataFrame:
             columns = [pa.array(p[:, c]) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *columns, pa.array(p[:, -1] >= chain.thresholds[-1])], names=["doc_id", *(f"p_{n}" for n in names), names[-1]])
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(frugal(run), schema)
 
 
 def _scored(chunks: Iterator[pa.RecordBatch], column: str, chain: Chain) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -292,4 +356,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for chunk, p in _scored(byte_chunks(batches, "text", 1 << 20), "text", shared.value):
             yield chunk.filter(pa.array(p[:, -1] < shared.value.thresholds[-1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -230,22 +230,23 @@ def window_hits(text, items):
     return w, hit, met
 
 
-def test_decontaminate(spark):
+@pytest.mark.parametrize("part_bytes", [decontaminate.PART_BYTES, 100])
+def test_decontaminate(spark, part_bytes):
     rows = odd_rows() + [(300, "zz zz zz zz zz and a b c d e f g h i j k l", "en", "a", 0), (301, "b c d e f g h i j k", "en", "a", 0)]
     items = bench_rows()
     want = []
     for i, text, *_ in rows:
-        w, hit, met = window_hits(text, items) if len(text or "") < 100_000 else (WORD.findall(low(text)), set(), set())
+        w, hit, met = window_hits(text, items)
         ids = sorted({str(m) for m in met if m is not None})
         want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
-    got = decontaminate.find_hits(docs(spark, rows), bench)
+    got = decontaminate.find_hits(docs(spark, rows), bench, part_bytes=part_bytes)
     assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=repr)
     assert sum(w[5] for w in want) >= 5
     assert decontaminate.find_hits(docs(spark, []), bench).count() == 0
     assert decontaminate.find_hits(docs(spark, rows), bench.where("1 = 0")).where("contaminated").count() == 0
-    cleaned = {(r["doc_id"], r["n_chars"] == len(r["text"])) : r["text"] for r in decontaminate.clean(docs(spark, rows), bench).where("doc_id is not null and text is not null").collect()}
-    assert not any(window_hits(t, items)[1] for t in cleaned.values() if len(t) < 100_000)
+    cleaned = {(r["doc_id"], r["n_chars"] == len(r["text"])) : r["text"] for r in decontaminate.clean(docs(spark, rows), bench, part_bytes=part_bytes).where("doc_id is not null and text is not null").collect()}
+    assert not any(window_hits(t, items)[1] for t in cleaned.values())
     kept = {k for k, _ in cleaned}
     assert {r[0] for r in rows if r[0] is not None and r[1]} - kept == {301}  # nothing was left of it
 
@@ -281,12 +282,31 @@ def test_water_fill():
     assert mixing.water_fill([]) == [] and mixing.water_fill([0, 0]) == [0.0, 0.0]
 
 
-def test_permutation_and_draws():
+def test_permutation():
     for n in (1, 2, 3, 100, 1023, 1024, 1025):
         assert sorted(mixing.permuted(np.arange(n), n, "k").tolist()) == list(range(n))
-    counts = mixing.draw_counts(np.array([50, 0, 7, 200]), 16)
-    assert counts.sum(0).tolist() == [50, 0, 7, 200] and counts.sum(1).tolist() == [16] * 16 + [1]
-    assert mixing.draw_counts(np.array([0, 0]), 16).shape == (0, 2)
+
+
+@pytest.mark.parametrize("quota, shards, run", [(0, 3, 4096), (50, 1, 4096), (1000, 7, 4096), (1000, 7, 2), (5, 40, 8)])
+def test_draws(quota, shards, run):
+    """Every slot goes to one shard, in one stretch for each shard, whatever the runs of shards are."""
+    rows = mixing.draw_shards(3, mixing.draw_runs(3, quota, shards, run, 17), shards, run, 17)
+    assert sum(n for _, _, n in rows) == quota and all(0 <= s < shards and n > 0 for s, _, n in rows)
+    assert [f for _, f, _ in rows] == np.cumsum([0, *(n for _, _, n in rows)])[:-1].tolist()
+    if quota == 1000:
+        assert max(n for _, _, n in rows) - min(n for _, _, n in rows) < 80
+
+
+def test_targets(spark):
+    """Targets solved over a table of sources are those that the plain rule gives."""
+    rng = random.Random(4)
+    sizes = {f"s{i:02d}": rng.choice((0, 3, 50, 1000)) for i in range(30)} | {None: 70, "é": 12, "\U0001f600": 5}
+    made = spark.createDataFrame([(k, 1, v) for k, v in sizes.items()], "source string, docs long, source_size long")
+    got = {r["source"]: (r["source_no"], r["target"]) for r in mixing.with_targets(made).collect()}
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    for i, (s, want) in enumerate(zip(names, mixing.water_fill([sizes[s] for s in names]))):
+        assert got[s][0] == i and math.isclose(got[s][1], want, abs_tol=1e-9)
+    assert mixing.with_targets(made.where("1 = 0")).count() == 0
 
 
 def test_mixing(spark):
