@@ -7,8 +7,11 @@ Burrows-Wheeler transform of that word sequence is kept in a wavelet matrix with
 every test window is found by backward search, all windows at once; occurrences are located by
 walking back to suffix positions sampled at every eighth place; overlapping spans are merged.
 
-The index needs no shuffle, and its size is bounded by the shard. What is broadcast is the
-benchmark: its words are counted first, and more than ``max_words`` of them are refused.
+The index needs no shuffle, and its size is bounded by the shard. The benchmark is cut into parts of about
+``PART_BYTES`` of text (a long item into pieces that overlap by a window less one word), which executors
+encode and write to the shared folder; the driver sees their paths only. Every shard is searched for each
+part in turn, and spans and items are merged, so a benchmark of any size gives whole results, and a worker
+holds one part at a time.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
 window; items of equal text all count; a null item_id is left out of the list of items; repeated
@@ -19,7 +22,9 @@ rows each get their row; an empty benchmark hits nothing; columns beside those n
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import ALNUM_TABLE, byte_chunks, frugal
+from lumicat.llm.common import ALNUM_TABLE, byte_chunks, frugal, open_fs, scratch_path
 
 WINDOW = 10
 SAMPLE = 8
 SHARD_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 PATTERNS_AT_ONCE = 8192
-MAX_BENCHMARK_WORDS = 20_000_000
+PART_BYTES = 4 << 20
 SENTINEL, SEPARATOR, FIRST_WORD = 0, 1, 2
 
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,stop:long>>"
@@ -187,20 +193,26 @@ class Benchmark:
         return int(self.lengths.min()) if len(self.lengths) else 0
 
 
-def build_benchmark(items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> Benchmark:
-    b, found = Benchmark(), {}
-    for k, (item_id, text) in enumerate(items):
-        words = words_of(text or b"")
-        coded = [b.ids.setdefault(w, len(b.ids) + FIRST_WORD) for w in words]
-        b.item_names.append(None if item_id is None else str(item_id))
-        for i in range(max(1, len(coded) - window + 1) if coded else 0):
-            found.setdefault(tuple(coded[i : i + window]), {})[k] = None
-    b.lengths = np.array([len(w) for w in found], np.int64)
-    b.windows = np.zeros((len(found), window), np.int64)
-    for r, w in enumerate(found):
-        b.windows[r, window - len(w) :] = w
-    b.owner_cuts = np.concatenate([[0], np.cumsum([len(x) for x in found.values()])]).astype(np.int64)
-    b.owners = np.array([k for x in found.values() for k in x], np.int64)
+def build_benchmark(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Benchmark:
+    """Of (name, text) items, the distinct windows in one matrix, and the items of each."""
+    b = Benchmark(item_names=[name for name, _ in items])
+    rows, sizes, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, (_, text) in enumerate(items):
+        coded = np.array([b.ids.setdefault(w, len(b.ids) + FIRST_WORD) for w in words_of(text)], np.int32)
+        if not len(coded):
+            continue
+        if len(coded) < window:
+            coded = np.concatenate([np.zeros(window - len(coded), np.int32), coded])
+        found = np.lib.stride_tricks.sliding_window_view(coded, window)
+        rows.append(found)
+        sizes.append(np.count_nonzero(found, axis=1))
+        owners.append(np.full(len(found), k))
+    every, size, owner = np.concatenate(rows), np.concatenate(sizes), np.concatenate(owners)
+    b.windows, first, which = np.unique(every, axis=0, return_index=True, return_inverse=True)
+    b.lengths = size[first]
+    pairs = np.unique(which.reshape(-1) * (len(items) + 1) + owner)
+    b.owners = pairs % (len(items) + 1)
+    b.owner_cuts = np.searchsorted(pairs // (len(items) + 1), np.arange(len(b.windows) + 1))
     return b
 
 
@@ -244,7 +256,7 @@ def search_shard(texts: list[bytes], bench: Benchmark) -> tuple[np.ndarray, np.n
     found_at, found_len, pairs = [], [], []
     for k in range(0, len(bench.lengths), PATTERNS_AT_ONCE):
         lengths = bench.lengths[k : k + PATTERNS_AT_ONCE]
-        low, high = index.count(bench.windows[k : k + PATTERNS_AT_ONCE], lengths)
+        low, high = index.count(bench.windows[k : k + PATTERNS_AT_ONCE].astype(np.int64), lengths)
         hit = np.flatnonzero(high > low)
         if not len(hit):
             continue
@@ -260,42 +272,113 @@ def search_shard(texts: list[bytes], bench: Benchmark) -> tuple[np.ndarray, np.n
         pairs.append(np.unique(np.stack([np.repeat(seen[:, 0], owners), item], 1), axis=0))
     if not found_at:
         return empty
-    at, size = np.concatenate(found_at), np.concatenate(found_len)
-    order = np.argsort(at, kind="stable")
-    at, reach = at[order], np.maximum.accumulate((at + size)[order])
-    # spans that overlap or touch are one; a separator keeps those of different texts apart
-    first = np.concatenate([[True], at[1:] > reach[:-1]])
-    start = at[first]
-    stop = reach[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(at) - 1]])]
+    start, stop = merged(np.concatenate(found_at), np.concatenate(found_len))
     doc = np.searchsorted(bases, start, side="right") - 1
     return n_words, doc, start - bases[doc], stop - bases[doc], np.unique(np.concatenate(pairs), axis=0)
 
 
-def broadcast_benchmark(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_BENCHMARK_WORDS):
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > 8 * max_words:
-        raise ValueError(f"the benchmark has {size} bytes, more than {8 * max_words}: search it in parts")
-    rows = sorted(((r[0], None if r[1] is None else bytes(r[1])) for r in b.collect()), key=repr)
-    return benchmark.sparkSession.sparkContext.broadcast(build_benchmark(rows, window))
+def merged(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops): spans that overlap or touch are one; a separator keeps those of different texts apart."""
+    order = np.argsort(at, kind="stable")
+    at, reach = at[order], np.maximum.accumulate((at + size)[order])
+    first = np.concatenate([[True], at[1:] > reach[:-1]])
+    return at[first], reach[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(at) - 1]])]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def write_parts(benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> list[str]:
+    """Encode the benchmark in parts on the executors; their paths in the shared folder."""
+    b = benchmark.select(F.col("item_id").cast("string").alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, piece = max(1, -(-size // part_bytes)), max(1, part_bytes // 4)
+    folder = scratch_path(benchmark.sparkSession, "benchmark")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in byte_chunks(batches, "text", CHUNK_BYTES):
+            for name, text in zip(chunk.column("name").to_pylist(), chunk.column("text").to_pylist()):
+                words, start = words_of(text), 0
+                ends = np.cumsum([len(w) + 1 for w in words])
+                while start < len(words):
+                    base = ends[start - 1] if start else 0
+                    stop = max(start + window, int(np.searchsorted(ends, base + piece, side="right")))
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([b" ".join(words[start:stop])], pa.binary())], names=["name", "text"])
+                    if stop >= len(words):
+                        break
+                    start = stop - window + 1
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str | None, bytes]] = []
+        part = None
+
+        def out() -> pa.RecordBatch:
+            fs, path = open_fs(f"{folder}/{part}")
+            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            draft = f"{path}.{uuid.uuid4().hex}"  # moved, so that a task that runs again leaves one file
+            with fs.open_output_stream(draft, compression=None) as f:
+                pickle.dump(build_benchmark(sorted(held, key=repr), window), f, protocol=5)
+            fs.move(draft, path)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{part}"])], names=["path"])
+
+        for batch in batches:
+            for p, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and p != part:
+                    yield out()
+                    held.clear()
+                part = p
+                held.append((name, text))
+        if held:
+            yield out()
+
+    pieces = b.mapInArrow(frugal(cut), "name string, text binary").select(F.pmod(F.xxhash64("name", "text"), F.lit(parts)).alias("part"), "name", "text")
+    written = pieces.repartition("part").sortWithinPartitions("part").mapInArrow(frugal(write), "path string")
+    return sorted(r[0] for r in written.collect())  # a path for each part
+
+
+_loaded: dict[str, Benchmark] = {}
+
+
+def load_part(uri: str) -> Benchmark:
+    """A part of the benchmark; the worker keeps the last one that it has read."""
+    if uri not in _loaded:
+        _loaded.clear()
+        fs, path = open_fs(uri)
+        with fs.open_input_stream(path, compression=None) as f:
+            _loaded[uri] = pickle.load(f)
+    return _loaded[uri]
+
+
+def search(texts: list[bytes], paths: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+    """(words of each text; text, start and stop of each merged span; names of the items that each text has)."""
+    names: list[set[str]] = [set() for _ in texts]
+    found, n_words = [], None
+    for uri in paths:
+        bench = load_part(uri)
+        n_words, doc, start, stop, pairs = search_shard(texts, bench)
+        found.append((doc, start, stop))
+        for d, item in pairs.tolist():
+            if bench.item_names[item] is not None:
+                names[d].add(bench.item_names[item])
+    if n_words is None:
+        n_words = np.array([len(words_of(t)) for t in texts], np.int64)
+    doc, start, stop = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    if len(found) > 1 and len(doc):
+        bases = np.concatenate([[0], np.cumsum(n_words + 1)])
+        start, stop = merged(bases[doc] + start, stop - start)
+        doc = np.searchsorted(bases, start, side="right") - 1
+        start, stop = start - bases[doc], stop - bases[doc]
+    return n_words, doc, start, stop, names
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document: words, words inside any occurrence of a window, items met, merged word spans."""
-    shared = broadcast_benchmark(benchmark, window)
+    paths = write_parts(benchmark, window, part_bytes)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = shared.value
         for chunk in byte_chunks(batches, "text", SHARD_BYTES):
-            n_words, doc, start, stop, pairs = search_shard(chunk.column("text").to_pylist(), bench)
+            n_words, doc, start, stop, names = search(chunk.column("text").to_pylist(), paths)
             n = chunk.num_rows
             n_hit = np.bincount(doc, weights=stop - start, minlength=n).astype(np.int64)
-            names: dict[int, list[str]] = {}
-            for d_, item in pairs.tolist():
-                if bench.item_names[item] is not None:
-                    names.setdefault(d_, []).append(bench.item_names[item])
-            lists = [sorted(set(names.get(i, ()))) for i in range(n)]
+            lists = [sorted(x) for x in names]
             cuts = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
             spans = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop, pa.int64())], ["start", "stop"]))
             yield pa.RecordBatch.from_arrays(
@@ -317,22 +400,21 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Documents with every occurrence cut from their text, and ``n_chars`` (if a column) after it.
 
     Cut texts are searched again until none has an occurrence, for the words on both sides of a cut
     follow one another. Other columns stay; a document of which no word is left goes.
     """
-    shared = broadcast_benchmark(benchmark, window)
+    paths = write_parts(benchmark, window, part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = shared.value
         for chunk in byte_chunks(batches, "text", SHARD_BYTES):
             at = chunk.schema.get_field_index("text")
             texts = chunk.column(at).cast(pa.binary()).to_pylist()
             todo, touched = list(range(len(texts))), set()
             while todo:
-                _, doc, start, stop, _ = search_shard([texts[i] or b"" for i in todo], bench)
+                _, doc, start, stop, _ = search([texts[i] or b"" for i in todo], paths)
                 spans: dict[int, list] = {}
                 for d_, a, b in zip(doc.tolist(), start.tolist(), stop.tolist()):
                     spans.setdefault(todo[d_], []).append((a, b))
