@@ -1,15 +1,16 @@
 """Mixing sources to target weights by packed blocks and index permutations.
 
 Each source's words are packed, document after document, into blocks of a fixed length (the last
-one may be shorter). A source's target gives its number of slots. Output shards are filled one
-after another: a shard's source counts are a multinomial draw over the slots that sources have
-left, so that the shards together use exactly the slots there are. A source's j-th slot takes
+one may be shorter). A source's target gives its number of slots, which are dealt to the output shards
+by a multinomial draw, each shard alike: of the slots of one shard, the counts by source are then a
+multinomial draw with the targets as weights, and all shards together use exactly the slots there are.
+The draw is made in two steps, over runs of shards and within a run, by generators that are seeded with
+source and run, so executors make it, and reruns agree. A source's j-th slot takes
 block ``perm(j mod n)`` of its n blocks, perm being a keyed Feistel permutation for each pass, so
 a block is taken once in every pass, and no more often than the target is times the size. Slots
 and blocks meet by (source, block index).
 
-Blocks, slots and documents are all distributed; only the table of sources (at most
-``MAX_SOURCES``) and the plan of draws (sources times at most ``MAX_SHARDS``) are on the driver.
+Sources, draws, slots, blocks and documents are all tables; the driver sees sums over the sources only.
 A source of any size is laid out from bucket sums, never in one task.
 
 Defined results: null text has size 0; a null source is a source of its own, after all others;
@@ -21,7 +22,6 @@ Columns beside doc_id, text and source are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumicat.llm.common import byte_chunks, frugal, materialise
+from lumicat.llm.common import byte_chunks, frugal, materialise, shuffle_partitions
+from lumicat.operators.graph import global_index
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 BLOCK = 128
 SLOTS_PER_SHARD = 4096
-MAX_SHARDS = 4096
-MAX_SOURCES = 100_000
+#: Shards of a run: a task draws for so many at a time.
+RUN = 4096
+#: A table of sources with more rows is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 SEED = 17
 ROUNDS = 6
 
@@ -64,20 +67,29 @@ def water_fill(sizes: list[int], weights=WEIGHTS, repeat: int = MAX_REPEAT) -> l
     return target
 
 
-def draw_counts(quotas: np.ndarray, slots_per_shard: int, seed: int = SEED) -> np.ndarray:
-    """(shards, sources) multinomial counts over what is left; the columns sum to the quotas."""
-    rng = np.random.default_rng(seed)
-    left, rows = quotas.astype(np.int64).copy(), []
-    while left.sum() > 0:
-        need = int(min(slots_per_shard, left.sum()))
-        row = np.zeros_like(left)
-        while need:
-            drawn = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            row += drawn
-            left -= drawn
-            need -= int(drawn.sum())
-        rows.append(row)
-    return np.array(rows, np.int64).reshape(-1, len(quotas))
+def _generator(*key: int) -> np.random.Generator:
+    return np.random.default_rng(list(key))
+
+
+def draw_runs(source: int, quota: int, shards: int, run: int = RUN, seed: int = SEED) -> list[tuple[int, int, int]]:
+    """(run of shards, first slot, slots): a source's slots dealt to runs of shards."""
+    runs = -(-shards // run)
+    sizes = np.full(runs, run)
+    sizes[-1] = shards - run * (runs - 1)
+    counts = _generator(seed, source, 0).multinomial(quota, sizes / shards)
+    firsts = np.cumsum(counts) - counts
+    return [(int(r), int(firsts[r]), int(counts[r])) for r in np.flatnonzero(counts)]
+
+
+def draw_shards(source: int, runs: list[tuple[int, int, int]], shards: int, run: int = RUN, seed: int = SEED) -> list[tuple[int, int, int]]:
+    """(shard, first slot, slots) of those runs."""
+    out = []
+    for r, first, n in runs:
+        size = min(run, shards - r * run)
+        counts = _generator(seed, source, r + 1).multinomial(n, np.full(size, 1.0 / size))
+        firsts = first + np.cumsum(counts) - counts
+        out += [(r * run + int(k), int(firsts[k]), int(counts[k])) for k in np.flatnonzero(counts)]
+    return out
 
 
 def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
@@ -101,8 +113,32 @@ def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def layout(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, copies, size, start): where each document's words lie in its source's stream.
+def with_targets(per_source: DataFrame) -> DataFrame:
+    """(source, docs, source_size) with source_no, by code point and null last, and target.
+
+    The level that the free sources share is found by sums over the table: each round takes out those
+    that it would lift above the limit, as ``water_fill`` does.
+    """
+    w = F.element_at(F.array(*(F.lit(x) for x in WEIGHTS)), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))
+    numbered = global_index(per_source, F.col("source").isNull(), F.col("source"), name="source_no").withColumn("weight", w)
+    numbered = materialise(numbered, "mix-sources")
+    most = F.lit(float(MAX_REPEAT)) * F.col("source_size")
+    level, before = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > most
+        r = numbered.agg(F.sum("source_size").alias("total"), F.sum(F.when(over, most)).alias("fixed"), F.sum(F.when(~over, F.col("weight"))).alias("free"), F.count_if(over).alias("n")).first()  # one row
+        if r["n"] == before or not r["free"]:
+            break
+        level, before = (r["total"] - (r["fixed"] or 0.0)) / r["free"], r["n"]
+    return numbered.withColumn("target", F.least(F.lit(level) * F.col("weight"), most))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def layout(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, source, copies, size, start): where each document's words lie in its source's stream; the sources).
 
     A source of n documents is cut into about sqrt(n) hash buckets; running sums are taken within a
     bucket, and bucket sums give the buckets' starts, so no task sorts more than about sqrt(n) rows.
@@ -113,17 +149,9 @@ def layout(docs: DataFrame) -> DataFrame:
     )
     d = d.groupBy("source", "doc_id", "text_key", "size").agg(F.count("*").alias("copies"))
     d = materialise(d.withColumn("space", F.col("size") * F.col("copies")), "mix-sizes")
-    # one row for each source
-    per_source = d.groupBy(F.col("source").alias("s_source")).agg(F.count("*").alias("docs"), F.sum("space").alias("source_size"))
-    sources = per_source.limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources.sort(key=lambda r: (r["s_source"] is None, (r["s_source"] or "").encode("utf-8")))
-    targets = water_fill([r["source_size"] for r in sources])
-    known = [(i, r["s_source"], r["source_size"], t, max(1, math.isqrt(r["docs"]))) for i, (r, t) in enumerate(zip(sources, targets))]
-    spark = docs.sparkSession
-    names = spark.createDataFrame(known, "source_no int, s_source string, source_size long, target double, buckets long")
-    d = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("s_source")))
+    sources = with_targets(d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("space").alias("source_size")))
+    names = sources.select("source_no", F.col("source").alias("s_source"), "source_size", "target", F.greatest(F.lit(1), F.floor(F.sqrt("docs"))).cast("long").alias("buckets"))
+    d = d.join(_small(names), F.col("source").eqNullSafe(F.col("s_source")))
     d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), "buckets"))
     sums = d.groupBy("source_no", "bucket").agg(F.sum("space").alias("bucket_space"))
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,29 +159,35 @@ def layout(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("space").over(inside), F.lit(0)))
     d = d.join(sums, (F.col("source_no") == F.col("b_no")) & (F.col("bucket") == F.col("b_bucket")))
-    return d.select("doc_id", "text_key", "source_no", "source", "source_size", "target", "size", "copies", "space", (F.col("bucket_start") + F.col("within")).alias("start"))
+    laid = d.select("doc_id", "text_key", "source_no", "source", "source_size", "target", "size", "copies", "space", (F.col("bucket_start") + F.col("within")).alias("start"))
+    return materialise(laid, "mix-layout"), sources
 
 
-def plan_slots(laid: DataFrame, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> DataFrame:
+def plan_slots(sources: DataFrame, block: int = BLOCK, slots_per_shard: int = SLOTS_PER_SHARD, seed: int = SEED, run_: int = RUN) -> DataFrame:
     """(shard, source_no, first, n_slots, blocks): which of its slots each source has in each shard."""
-    rows = laid.select("source_no", "source_size", "target").distinct().collect()  # one row for each source
-    rows = sorted((r for r in rows if r["source_size"]), key=lambda r: r["source_no"])
-    spark = laid.sparkSession
-    schema = "shard int, source_no int, first long, n_slots long, blocks long"
-    if not rows:
-        return spark.createDataFrame([], schema)
-    blocks = np.array([-(-r["source_size"] // block) for r in rows], np.int64)
-    quotas = np.array([round(r["target"] * int(n) / r["source_size"]) for r, n in zip(rows, blocks)], np.int64)
-    per_shard = max(slots_per_shard, -(-int(quotas.sum()) // MAX_SHARDS))
-    counts = draw_counts(quotas, per_shard, seed)
-    firsts = np.cumsum(counts, axis=0) - counts
-    shard, col = np.nonzero(counts)
-    numbers = np.array([r["source_no"] for r in rows])
-    plan = zip(shard.tolist(), numbers[col].tolist(), firsts[shard, col].tolist(), counts[shard, col].tolist(), blocks[col].tolist())
-    return spark.createDataFrame(list(plan), schema)
-
-
-SLOTS = "shard int, slot long, source_no int, block long, pass int"
+    quotas = sources.where("source_size > 0").select("source_no", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"), "target", "source_size")
+    quotas = quotas.select("source_no", "blocks", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long").alias("quota"))
+    total = quotas.agg(F.sum("quota")).first()[0] or 0
+    shards = max(1, -(-total // slots_per_shard))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, blocks, quota in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(source, blocks, *r) for r in draw_runs(source, quota, shards, run_, seed)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["source_no", "blocks", "run", "first", "n_slots"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, blocks, run, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(s, source, f, k, blocks) for s, f, k in draw_shards(source, [(run, first, n)], shards, run_, seed)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["shard", "source_no", "first", "n_slots", "blocks"])
+
+    tasks = shuffle_partitions(sources.sparkSession)
+    drawn = quotas.mapInArrow(frugal(runs), "source_no long, blocks long, run long, first long, n_slots long").repartition(tasks, "source_no", "run")
+    return drawn.mapInArrow(frugal(within), "shard long, source_no long, first long, n_slots long, blocks long")
+
+
+SLOTS = "shard long, slot long, source_no long, block long, pass int"
 
 
 def map_slots(plan: DataFrame, seed: int = SEED) -> DataFrame:
@@ -169,11 +203,11 @@ def map_slots(plan: DataFrame, seed: int = SEED) -> DataFrame:
                     for p in np.unique(passes):
                         block[passes == p] = permuted(index[passes == p], n, f"{seed}:{source}:{p}")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(j), shard, np.int32)), pa.array(j), pa.array(np.full(len(j), source, np.int32)), pa.array(block), pa.array(passes.astype(np.int32))],
+                        [pa.array(np.full(len(j), shard)), pa.array(j), pa.array(np.full(len(j), source)), pa.array(block), pa.array(passes.astype(np.int32))],
                         names=["shard", "slot", "source_no", "block", "pass"],
                     )
 
-    spread = plan.repartition(max(1, plan.sparkSession.sparkContext.defaultParallelism), "shard", "source_no")
+    spread = plan.repartition(shuffle_partitions(plan.sparkSession), "shard", "source_no")
     return spread.mapInArrow(frugal(run), SLOTS)
 
 
@@ -198,8 +232,8 @@ def join_blocks(laid: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFr
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words of each document that the mix takes."""
-    laid = materialise(layout(docs), "mix-layout")
-    slots = map_slots(plan_slots(laid, block, seed=seed), seed)
+    laid, sources = layout(docs)
+    slots = map_slots(plan_slots(sources, block, seed=seed), seed)
     taken = (
         join_blocks(laid, slots, block)
         .groupBy(F.col("source_no").alias("k_no"), F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_key"))
@@ -213,8 +247,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
 
 def mixed_ranges(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """Per document, copy and pass: the word ranges of the document that the mix takes in that pass."""
-    laid = materialise(layout(docs), "mix-layout")
-    slots = map_slots(plan_slots(laid, block, seed=seed), seed).select(F.col("source_no").alias("t_no"), F.col("block").alias("t_block"), "pass")
+    laid, sources = layout(docs)
+    slots = map_slots(plan_slots(sources, block, seed=seed), seed).select(F.col("source_no").alias("t_no"), F.col("block").alias("t_block"), "pass")
     p = pieces(laid, block)
     p = p.join(slots.hint("merge"), (p.source_no == F.col("t_no")) & (p.block == F.col("t_block")))
     p = p.withColumn("copy", F.explode(F.sequence(F.expr("from_word div size"), F.expr("(to_word - 1) div size"))))
