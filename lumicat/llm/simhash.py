@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -277,8 +278,11 @@ BROADCAST_ROWS = 1_000_000
 SIGNATURE = 16
 #: One text of so many is counted to see which shingles are frequent, and so many of those are kept.
 SAMPLED, FREQUENT, MIN_SAMPLED = 16, 200_000, 4
-#: Rounds that join with one text of each shingle go on while there are more unconnected pairs than so many a row.
-PAIRS_PER_ROW, MAX_STARS = 8, 4
+#: Longs of the smaller bitmap that is carried with each shingle.
+FOLDED = 4
+#: While unconnected texts have more pairs than so many a row, a round joins each shingle's texts with so many of them,
+#: unless the last such round linked less than one text in so many rows.
+PAIRS_PER_ROW, CENTRES, ROWS_PER_LINK, MAX_STARS = 8, 4, 500, 4
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -409,7 +413,7 @@ def text_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of balls can miss pairs behind a link that fails, and similar short texts can lie outside of every ball,
     so an exact join completes them: similar sets share a shingle of their prefixes, so all pairs of texts that
     share one and are not yet connected are candidates, less those that sizes, positions or signatures
-    rule out. While these pairs are many for the rows there are, a round joins each shingle's texts with one
+    rule out. While these pairs are many for the rows there are, a round joins each shingle's texts with a few
     of them only, and connects what it can; the last round verifies every pair that is left.
     """
     shingled = materialise(_shingled(docs, similarity).dropDuplicates(["k"]), "shingled")
@@ -419,33 +423,43 @@ def text_links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     posted = shingled.select("k", "n", F.posexplode("prefix").alias("at", "shingle")).select("k", place.alias("place"), "shingle")
     of = Window.partitionBy("shingle")
     shared = posted.withColumn("texts", F.count("*").over(of)).where("texts > 1")
-    shared = materialise(shared.select("k", "shingle", F.expr("cast(shiftright(place, 32) as int)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"), F.col("k").alias("c")), "shared-shingles")
+    shared = shared.select("k", "shingle", F.expr("cast(shiftright(place, 32) as int)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("at"))
+    names = [f"f{j}" for j in range(FOLDED)]
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), (F.col(f"s{i}") for i in range(j, SIGNATURE, FOLDED))).alias(f) for j, f in enumerate(names)]
+    marks = shingled.select(F.col("k").alias("mk"), *folded)
+    before = materialise(shared, "shared-shingles")
+    shared = materialise(before.join(marks, F.col("k") == F.col("mk")).drop("mk").withColumn("c", F.col("k")), "marked-shingles")
+    discard(before)
     sizes = F.col("n") + F.col("n2")
-    possible = (F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _need(similarity, sizes))
+    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}2"))) for f in names), F.lit(0))
+    possible = (F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(similarity) - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _need(similarity, sizes)) & (sizes - apart >= 2 * _need(similarity, sizes))
     ordered = (F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))
-    last = False
+    columns = ["k", "n", "at", "c", *names]
+    links_ = out
     for turn in range(MAX_STARS + 1):
         found = components(out)
-        named = shared.drop("c").join(found, F.col("k") == F.col("node"), "left").select("k", "n", "at", "shingle", F.coalesce("root", "k").alias("c"))
+        named = shared.drop("c").join(found, F.col("k") == F.col("node"), "left").select("shingle", *columns[:3], F.coalesce("root", "k").alias("c"), *names)
         parts = named.groupBy(F.col("shingle").alias("o"), F.col("c").alias("oc")).agg(F.count("*").alias("m"))
         open_ = parts.groupBy("o").agg(F.count("*").alias("kinds"), F.sum("m").alias("all"), F.sum(F.col("m").cast("double") * F.col("m")).alias("inside")).where("kinds > 1")
         open_ = materialise(open_, "open")
-        discard(before) if turn else None
         before, shared = shared, materialise(named.join(open_.select("o"), F.col("shingle") == F.col("o"), "left_semi"), "open-shingles")
+        discard(before)
         rows, pairs = open_.agg(F.sum("all"), F.sum((F.col("all").cast("double") * F.col("all") - F.col("inside")) / 2)).first()  # one row
-        last = turn == MAX_STARS or (pairs or 0) <= PAIRS_PER_ROW * (rows or 0)
+        enough = not turn or links_.count() * ROWS_PER_LINK >= (rows or 0)
+        last = turn == MAX_STARS or not enough or (pairs or 0) <= PAIRS_PER_ROW * (rows or 0)
         if last:
-            other = shared.select(F.col("shingle").alias("o"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))
+            other = shared.select(F.col("shingle").alias("o"), *(F.col(x).alias(f"{x}2") for x in columns))
             met = shared.join(other, (F.col("shingle") == F.col("o")) & (F.col("k") < F.col("k2")) & (F.col("c") != F.col("c2")) & possible)
         else:
-            one = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"))).alias("m")
-            other = shared.groupBy(F.col("shingle").alias("o")).agg(one).select("o", "m.k2", "m.n2", "m.at2", "m.c2")
+            some = [F.min(F.struct(F.xxhash64("k", F.lit(turn * CENTRES + i)).alias("h"), *(F.col(x).alias(f"{x}2") for x in columns))) for i in range(CENTRES)]
+            other = shared.groupBy(F.col("shingle").alias("o")).agg(F.array(*some).alias("m")).select("o", F.explode("m").alias("m")).select("o", *(f"m.{x}2" for x in columns)).distinct()
             met = shared.join(other, (F.col("shingle") == F.col("o")) & (F.col("c") != F.col("c2")) & possible)
-        out = out.unionByName(_verified(met.select(*ordered).distinct(), signs, docs, similarity))
+        links_ = _verified(met.select(*ordered).distinct(), signs, docs, similarity)
+        out = out.unionByName(links_)
         discard(found, open_)
         if last:
             break
-    discard(shared, before, shingled)
+    discard(shared, shingled)
     return out
 
 
