@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A text block (a line of a document) meets a template if it contains at least ``threshold`` of the
+A text block (up to ``LINES`` lines of a document that follow one another, from each line on, so that a
+notice meets its template however it is wrapped) meets a template if it contains at least ``threshold`` of the
 template's distinct words. Tokens are put in one global order, rarest first, by their counts over
 all blocks. Of a block and a template that share at least ``need`` tokens, the first
 ``size - need + 1`` tokens of each share one (prefix filter), the block has at least ``need``
@@ -26,6 +27,7 @@ from lumicat.llm.common import lowered, materialise
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.9
+LINES = 8
 
 #: The phrases that give base labels.
 PHRASES = (
@@ -46,6 +48,17 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("eupl", "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission, subsequent versions of the EUPL"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
@@ -70,7 +83,7 @@ def _phrase_starts(words: Column, n: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), n - len(parts)), here)
 
 
-def scan_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
+def scan_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, lines: int = LINES) -> DataFrame:
     """One row per document: word counts, phrase places, and the blocks that pass the length filter."""
     vocabulary = sorted({t for _, text in templates for t in template_tokens(text)})
     least = min(needed(len(template_tokens(text)), threshold) for _, text in templates)
@@ -84,9 +97,14 @@ def scan_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHO
     d = d.select(
         "doc_id", "text_key",
         F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_words"),
-        F.when(F.exists("lines", lambda x: F.array_contains(x, "license")), F.flatten("lines")).alias("words"),
+        # only texts with the longest word of a phrase can have a phrase
+        F.when(F.exists("lines", lambda x: F.arrays_overlap(x, F.array(*map(F.lit, sorted({max(p.split(), key=len) for p, _ in phrases}))))), F.flatten("lines")).alias("words"),
+        F.transform("lines", lambda x: F.array_intersect(x, known)).alias("kept"),
+    )
+    d = d.select(
+        "doc_id", "text_key", "n_words", "words",
         F.filter(
-            F.transform("lines", lambda x, i: F.struct(i.alias("block"), F.array_intersect(x, known).alias("tokens"))),
+            F.transform("kept", lambda x, i: F.struct(i.alias("block"), F.array_distinct(F.flatten(F.slice("kept", i + 1, lines))).alias("tokens"))),
             lambda b: F.size(b["tokens"]) >= least,
         ).alias("blocks"),
     )

@@ -100,13 +100,14 @@ phrases(phrase, width, label) AS (VALUES {phrases}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
 w AS (SELECT r, doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
 places AS (
-  SELECT r, label, i FROM (SELECT r, words, unnest(range(len(words))) AS i FROM w WHERE contains(low, 'license')), phrases
+  SELECT r, label, i FROM (SELECT r, words, unnest(range(len(words))) AS i FROM w WHERE {" OR ".join(f"contains(low, {_sql_text(max(p.split(), key=len))})" for p, _ in license_scan.PHRASES)}), phrases
   WHERE array_to_string(words[i + 1 : i + width], ' ') = phrase
 ),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r),
+lines AS (SELECT r, list_transform(string_split(low, chr(10)), lambda b: list_intersect(list_distinct(regexp_extract_all(b, '{word}')), [{', '.join(map(_sql_text, sorted({x for _, text in license_scan.TEMPLATES for x in license_scan.template_tokens(text)})))}])) AS kept FROM d),
 blocks AS (
-  SELECT r, list_distinct(regexp_extract_all(b, '{word}')) AS tokens
-  FROM (SELECT r, unnest(string_split(low, chr(10))) AS b FROM d)
+  SELECT r, list_distinct(flatten(kept[i + 1 : i + {license_scan.LINES}])) AS tokens
+  FROM (SELECT r, kept, unnest(range(len(kept))) AS i FROM lines)
 ),
 more AS (
   SELECT r, list(DISTINCT label) AS labels, max(len(list_intersect(t.tokens, b.tokens))::DOUBLE / len(t.tokens)) AS score
@@ -121,10 +122,10 @@ FROM w LEFT JOIN base USING (r) LEFT JOIN more USING (r)
 
 
 def _op4_sql() -> str:
-    low = ("lower_az", "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")[1]
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = low.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
     rules = ", ".join(f"({_sql_text(h)}, {_sql_text(p)}, {_sql_text(v)})" for h, p, v in url_filter.RULES)
-    sites = ", ".join(map(_sql_text, url_filter.LISTED_SITES))
+    prefixes, sites, domains, folders, endings = (", ".join(map(_sql_text, x)) for x in (url_filter.PREFIXES, url_filter.LISTED_SITES, url_filter.DOMAINS, url_filter.FOLDERS, url_filter.ENDINGS))
     return f"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES {rules}),
 p AS (
@@ -137,7 +138,10 @@ p AS (
 c AS (
   SELECT *, host || regexp_replace(path, '/+$', '') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM p
 ),
-listed AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND list_has_any(string_split(host, '.'), [{sites}])),
+listed AS (
+  SELECT concat(a, s, d, f, n, e) AS canonical
+  FROM unnest([{prefixes}]) p(a), unnest([{sites}]) t(s), unnest([{domains}]) q(d), unnest([{folders}]) u(f), range({url_filter.LISTED_PAGES}) v(n), unnest([{endings}]) w(e)
+),
 best AS (
   SELECT r, arg_max(r_host || r_path, length(r_host) + length(r_path)) AS rule, arg_max(r_verdict, length(r_host) + length(r_path)) AS verdict
   FROM c, rules WHERE (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY r

@@ -5,7 +5,8 @@ first or its last one. That depends on the k-mer alone, so an anchor survives an
 a text and its edited copy keep the anchors of what they share, at positions that differ by one
 offset for each shared stretch. A fingerprint is the ``size`` smallest distinct anchor hashes;
 likeness is the share of the smallest hashes of both that both hold (an estimate of the Jaccard
-similarity of the anchor sets).
+similarity of the anchor sets). Beside it stands what positional matching of all anchors finds: the offset
+that most anchors of the text and its edited text share, how many do, and how many lie at any shared offset.
 
 Defined results: null text is empty; an empty text has the empty fingerprint and is like (1.0)
 another empty one only; a text without a syncmer, as a short one, has its own hash as sole anchor;
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumicat.llm.common import frugal, shuffle_partitions
+from lumicat.llm.common import byte_chunks, frugal, shuffle_partitions
 
 K, S, SIZE = 16, 8, 64
 BASE = 0x9E3779B97F4A7C15
@@ -33,7 +34,7 @@ MASK = (1 << 64) - 1
 
 OUT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, n_anchors long"
+    "near_edited double, near_next double, n_anchors long, edited_offset long, edited_at_offset long, edited_matched long, next_matched long"
 )
 
 
@@ -92,19 +93,26 @@ def anchors_of(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarra
     return out
 
 
-def match_offset(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
-    """Positional matching: the most frequent offset of anchors that both texts hold once, and its count."""
-    def once(x):
-        values, first, n = np.unique(x[1], return_index=True, return_counts=True)
-        return values[n == 1], x[0][first[n == 1]]
+def _ranked(anchors: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors told apart by how often the hash came before, in order; positions)."""
+    positions, hashes = anchors
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+    return (h.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64), positions[order]
 
-    (va, pa_), (vb, pb) = once(a), once(b)
+
+def match_positions(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int]:
+    """Positional matching of two texts' anchors: (most frequent offset, anchors at it, anchors that lie at any
+    offset that two or more share, or at offset 0). Equal anchors are paired in their order in the texts."""
+    (va, pa_), (vb, pb) = _ranked(a), _ranked(b)
     _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
     if not len(ia):
-        return 0, 0
+        return 0, 0, 0
     offsets, n = np.unique(pb[ib] - pa_[ia], return_counts=True)
     best = int(np.argmax(n))
-    return int(offsets[best]), int(n[best])
+    return int(offsets[best]), int(n[best]), int(n[(n > 1) | (offsets == 0)].sum())
 
 
 def sketch(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -139,37 +147,31 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _sketches(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
-    found: list[np.ndarray] = []
-    counts: list[int] = []
-    for a, b in _slices(texts):
-        for _, hashes in anchors_of(texts[a:b]):
-            found.append(sketch(hashes))
-            counts.append(len(hashes))
-    return found, counts
+def _anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [x for a, b in _slices(texts) for x in anchors_of(texts[a:b])]
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order; each is put out when the one after it is known. A tail is only a next row."""
+    names = [x.strip().split(" ")[0] for x in OUT.split(",")]
+    types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.strip().split(" ")[1]] for x in OUT.split(",")]
     held: tuple | None = None
-    for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("span", "tail", "doc_id", "text"))))
-        if not rows:
-            continue
-        texts = [r[3] or "" for r in rows]
-        prints, counts = _sketches(texts)
-        line = ([held] if held else []) + [(*r[:3], t, p, n) for r, t, p, n in zip(rows, texts, prints, counts)]
+    for batch in byte_chunks(batches, "text", CHUNK_CHARS):
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("tail", "doc_id", "text"))))
+        texts = [r[2] or "" for r in rows]
+        line = ([held] if held else []) + [(*r[:2], t, x, sketch(x[1])) for r, t, x in zip(rows, texts, _anchors(texts))]
         held = line[-1]
-        pairs = [(x, y) for x, y in zip(line, line[1:]) if not x[1]]
-        changed = [edited(x[3], y[3]) for x, y in pairs]
-        changed_prints, _ = _sketches(changed)
-        out = [
-            (x[2], len(x[3]), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), to_hex(x[4]), to_hex(e), likeness(x[4], e), likeness(x[4], y[4]), x[5])
-            for (x, y), c, e in zip(pairs, changed, changed_prints)
-        ]
+        pairs = [(x, y) for x, y in zip(line, line[1:]) if not x[0]]
+        changed = [edited(x[2], y[2]) for x, y in pairs]
+        out = []
+        for (x, y), c, found in zip(pairs, changed, _anchors(changed)):
+            e = sketch(found[1])
+            out.append(
+                (x[1], len(x[2]), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), to_hex(x[4]), to_hex(e), likeness(x[4], e), likeness(x[4], y[4]), len(x[3][1]),
+                 *match_positions(x[3], found), match_positions(x[3], y[3])[2])
+            )
         if out:
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.strip().split(" ")[0] for x in OUT.split(",")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:

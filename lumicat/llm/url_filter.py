@@ -33,8 +33,13 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-#: Site names (a whole label of a host) whose pages are listed.
+#: What the listed canonical URLs are made of, which are all combinations with page numbers below LISTED_PAGES.
+PREFIXES = ("", "m.", "blog.")
 LISTED_SITES = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
+DOMAINS = (".example.com", ".example.net", ".example.org")
+FOLDERS = ("/en/", "/de/", "/fr/", "/es/")
+ENDINGS = ("", ".html")
+LISTED_PAGES = 1000
 
 #: Query parameters that a canonical URL leaves out.
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)"
@@ -93,13 +98,8 @@ def candidate_keys(url: Column, path_lengths: list[int]) -> Column:
     return F.when(host != "", F.array_append(rule_keys, F.concat(F.lit("u:"), canonical(url))))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, path_lengths: list[int], default: str = "allow",
-                bits_per_key: int = BITS_PER_KEY, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page; the longest rule decides, then the list.
-
-    ``path_lengths``: the distinct lengths of the rules' paths.
-    """
-    listed = materialise(listed, "url-list")
+def possible_hits(pages: DataFrame, listed: DataFrame, path_lengths: list[int], bits_per_key: int = BITS_PER_KEY, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """(url, key): the candidate keys of distinct urls that pass the filter."""
     n = listed.count()
     blocks = max(1, -(-n * bits_per_key // (64 * WORDS)))
     bloom = bloom_blocks(listed, blocks).withColumnRenamed("block", "b_block")
@@ -112,7 +112,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, path_lengths: list[int], de
     possible = keys.join(side, keys.block == side.b_block)
     for j in range(WORDS):
         possible = possible.where(F.expr(f"getbit(w{j}, cast(shiftrightunsigned(h, {6 * j}) & 63 as int)) = 1"))
-    hits = possible.select("url", "key").join(listed, "key")
+    return possible.select("url", "key")
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, path_lengths: list[int], default: str = "allow",
+                bits_per_key: int = BITS_PER_KEY, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page; the longest rule decides, then the list.
+
+    ``path_lengths``: the distinct lengths of the rules' paths.
+    """
+    listed = materialise(listed, "url-list")
+    hits = possible_hits(pages, listed, path_lengths, bits_per_key, broadcast_blocks).join(listed, "key")
     best = hits.groupBy(F.col("url").alias("b_url")).agg(F.max(F.struct("weight", "rule", "verdict")).alias("best"))
     out = pages.select("page_id", "url").join(best, F.col("url") == F.col("b_url"), "left")
     return out.select(
@@ -122,12 +132,16 @@ def filter_urls(pages: DataFrame, listed: DataFrame, path_lengths: list[int], de
     )
 
 
-def listed_pages(pages: DataFrame, sites=LISTED_SITES) -> DataFrame:
-    """Pages with a label of their host among the listed site names."""
-    return pages.select("url").where(F.arrays_overlap(F.split(host_of(F.col("url")), r"\."), F.array(*map(F.lit, sites))))
+def listed_urls(spark: SparkSession, pages: int = LISTED_PAGES) -> DataFrame:
+    """(url): the list that the query judges by, made from its parts, without a look at the judged pages."""
+    out = spark.range(pages).select(F.col("id").cast("string").alias("no"))
+    for name, values in (("a", PREFIXES), ("s", LISTED_SITES), ("d", DOMAINS), ("f", FOLDERS), ("e", ENDINGS)):
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return out.select(F.concat(F.lit("https://"), "a", "s", "d", "f", "no", "e").alias("url"))
 
 
-def judge_pages(pages: DataFrame, rules=RULES, sites=LISTED_SITES) -> DataFrame:
-    """Every page under the rules and the list of all canonical URLs of the listed sites."""
-    listed = rule_list(pages.sparkSession, rules).unionByName(url_list(listed_pages(pages, sites)))
+def judge_pages(pages: DataFrame, rules=RULES, urls: DataFrame | None = None) -> DataFrame:
+    """Every page under the rules and a list of URLs (column url), any spelling of which is met by its canonical form."""
+    spark = pages.sparkSession
+    listed = rule_list(spark, rules).unionByName(url_list(listed_urls(spark) if urls is None else urls))
     return filter_urls(pages, listed, sorted({len(p) for _, p, _ in rules}))

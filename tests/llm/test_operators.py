@@ -88,14 +88,17 @@ def test_license_scan(spark):
         (202, "Licensed under CC BY-NC 4.0.\nother", "en", "a", 0), (203, "by nc cc 4 0 under licensed and more words here", "en", "a", 0), (204, "cc by nc\n4.0 licensed under", "en", "a", 0),
         (205, "mit\nlicense", "en", "a", 0), (206, "license", "en", "a", 0), (207, "Redistribution and use in source and binary forms, with or without changes, are permitted provided that the following conditions are met", "en", "a", 0),
     ]
+    grant = license_scan.TEMPLATES[1][1].split()
+    extra += [(208, " * " + "\n * ".join(" ".join(grant[k : k + 6]) for k in range(0, len(grant), 6)), "en", "a", 0)]
     rows = odd_rows() + extra
     want = []
     for i, text, *_ in rows:
         w = WORD.findall(low(text))
         places = [(k, label) for phrase, label in license_scan.PHRASES for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p]
         found = []
-        for block in low(text).split("\n"):
-            b = set(WORD.findall(block))
+        lines = low(text).split("\n")
+        for at in range(len(lines)):
+            b = set(WORD.findall("\n".join(lines[at : at + license_scan.LINES])))
             for label, template in license_scan.TEMPLATES:
                 t = set(license_scan.template_tokens(template))
                 if len(b & t) >= license_scan.needed(len(t), license_scan.THRESHOLD):
@@ -104,7 +107,10 @@ def test_license_scan(spark):
         want.append((i, len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(base), ",".join(sorted({*base, *(x for _, x in found)})), max((s for s, _ in found), default=0.0)))
     got = license_scan.license_scan(docs(spark, rows))
     assert rows_of(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == sorted(want, key=repr)
+    assert next(r["labels"] for r in got.collect() if r["doc_id"] == 208) == "mit"  # wrapped over lines
     assert license_scan.license_scan(docs(spark, [])).count() == 0
+    own = license_scan.license_scan(docs(spark, [(1, "All rights reserved", "en", "a", 0)]), phrases=(("rights reserved", "arr"),)).first()
+    assert (own["n_base"], own["labels"]) == (1, "arr")
 
 
 # --- 3 ---------------------------------------------------------------------------------------------
@@ -134,13 +140,23 @@ def plain_anchors(text, k=syncmers.K, s=syncmers.S):
     return out
 
 
+def test_listed_urls(spark):
+    urls = [r[0] for r in url_filter.listed_urls(spark).collect()]
+    assert len(urls) == len(set(urls)) == 3 * 6 * 3 * 4 * 2 * 1000 and "https://m.spam-farm.example.org/fr/999.html" in urls
+    seen = spark.createDataFrame([(i, f"http://x{i}.example.org/{i}", None) for i in range(5000)], PAGE_SCHEMA)
+    listed = url_filter.url_list(url_filter.listed_urls(spark))
+    assert url_filter.possible_hits(seen, listed, [1]).count() < 50  # of 25000 keys, none of which is listed
+
+
 def test_syncmer_anchors():
     texts = ["", "short", "a quick brown fox jumps over the lazy dog again and again", "é😀" * 40, "x" * 50]
     for text, (at, h) in zip(texts, syncmers.anchors_of(texts)):
         if len(text) >= syncmers.K:
             assert list(zip(at.tolist(), h.tolist())) == plain_anchors(text)
     a, b = syncmers.anchors_of([texts[2] + " with a longer tail to anchor", "PRE " + texts[2] + " with a longer tail to anchor"])
-    assert syncmers.match_offset(a, b)[0] == 4 and syncmers.match_offset(a, b)[1] > 3
+    offset, at_it, matched = syncmers.match_positions(a, b)
+    assert offset == 4 and 3 < at_it <= matched <= min(len(a[0]), len(b[0]))
+    assert syncmers.match_positions(a, a) == (0, len(a[0]), len(a[0]))
 
 
 def test_syncmers(spark):
@@ -170,7 +186,9 @@ def test_syncmers(spark):
     assert rows_of(syncmers.fingerprint_neighbours(docs(spark, rows)), *cols) == sorted(want, key=repr)
     assert syncmers.fingerprint_neighbours(docs(spark, [])).count() == 0
     alone = syncmers.fingerprint_neighbours(docs(spark, rows[5:6])).first()
-    assert alone["near_next"] == 1.0
+    assert alone["near_next"] == 1.0 and alone["next_matched"] == alone["n_anchors"]
+    long = next(r for r in syncmers.fingerprint_neighbours(docs(spark, rows)).collect() if r["doc_id"] == 107)
+    assert long["edited_offset"] == 0 and 0.6 < long["edited_at_offset"] / long["n_anchors"] < 0.72  # the two thirds that stay
 
 
 # --- 4 ---------------------------------------------------------------------------------------------
@@ -194,16 +212,19 @@ def test_url_filter(spark, options):
         return host, path, host + path.rstrip("/") + ("?" + "&".join(kept) if kept else "")
 
     listed = {parts(u)[2] for u in urls if sites & set(parts(u)[0].split("."))}
+    on_list = spark.createDataFrame([(f"HTTPS://{x.split('/')[0].upper()}/{x.partition('/')[2]}",) for x in sorted(listed)], "url string")
     for i, u, _ in rows:
         host, path, canon = parts(u)
         fit = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fit, default=(0, None, "block" if canon in listed else "allow"))
         want.append((i, host, path, best[1], best[2]))
     df = spark.createDataFrame(rows, PAGE_SCHEMA).withColumn("host", F.lit("x")).withColumn("key", F.lit(1)).withColumn("weight", F.lit(1))
-    all_listed = url_filter.rule_list(spark).unionByName(url_filter.url_list(url_filter.listed_pages(df)))
+    all_listed = url_filter.rule_list(spark).unionByName(url_filter.url_list(on_list))
     got = url_filter.filter_urls(df, all_listed, sorted({len(p) for _, p, _ in url_filter.RULES}), **options)
     assert rows_of(got, "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
     assert url_filter.judge_pages(df.where("page_id > 99")).count() == 0
+    long = spark.createDataFrame([(1, "http://net.example.net/en/" + "x" * 200_000, None)], PAGE_SCHEMA)
+    assert url_filter.judge_pages(long).first()["rule"] == "example.net/en/"
     assert {r["verdict"] for r in url_filter.filter_urls(df, all_listed.where("1 = 0"), [1]).collect()} == {"allow"}
 
 
