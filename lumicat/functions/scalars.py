@@ -181,8 +181,24 @@ def hierarchical_keywords(score: Column, cluster: Column, root: str = C.DEFAULT.
     return F.transform(keywords(score, cluster, root), lambda k: F.when(k == root, k).otherwise(F.concat(F.lit(root + "|"), k)))
 
 
+#: The characters of Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A decimal number: ASCII digits, with no type letter, digit group or hexadecimal form.
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def number_text(text: Column) -> Column:
+    """The trimmed text of a number, else null."""
+    t = trimmed(text)
+    return F.when(t.rlike(NUMBER), t)
+
+
 def clean_keywords(words: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(words, trimmed), lambda w: w != "")))
 
 
 def merge_keywords(existing: Column, incoming: Column, root: str = C.DEFAULT.keyword_root) -> Column:
@@ -202,27 +218,28 @@ def half_away(x: Column) -> Column:
 
 
 def parse_int32(text: Column) -> Column:
-    d = F.trim(text).try_cast("double")
+    d = number_text(text).try_cast("double")
     return F.when(is_finite(d) & d.between(-2147483648.0, 2147483647.0), half_away(d).cast("int"))
 
 
 def parse_int64(text: Column) -> Column:
-    d = F.trim(text).try_cast("double")
-    return F.coalesce(F.trim(text).try_cast("long"), F.when(is_finite(d) & (F.abs(d) < 9.2e18), half_away(d).cast("long")))
+    t = number_text(text)
+    d = t.try_cast("double")
+    return F.coalesce(F.when(~t.rlike(r"[.eE]"), t.try_cast("long")), F.when(is_finite(d) & (F.abs(d) < 9.2e18), half_away(d).cast("long")))
 
 
 def parse_float(text: Column) -> Column:
-    d = F.trim(text).try_cast("float")
+    d = number_text(text).try_cast("float")
     return F.when(is_finite(d), d)
 
 
 def parse_bool(text: Column) -> Column:
-    t = F.lower(F.trim(text))
+    t = F.lower(trimmed(text))
     return F.when(t == "true", True).when(t == "false", False)
 
 
 def parse_time(text: Column) -> Column:
-    t = F.trim(text)
+    t = trimmed(text)
     return F.when(t.rlike(r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.try_to_timestamp(F.upper(t)))
 
 

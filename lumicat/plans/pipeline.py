@@ -175,14 +175,18 @@ def rename(catalog: Catalog, cfg: RunConfig) -> dict[str, int]:
 
 
 def watermark(spark: SparkSession, source: str, output: str, mark_path: str, position: str = "bottom_right", scale: float = 5.0, force: bool = False) -> dict[str, int]:
-    """Lay a mark over every raster image below a folder; outputs keep their stems."""
+    """Lay a mark over every raster image below a folder; outputs keep their stems.
+
+    An image that the mark doesn't fit is counted as such and gets no output.
+    """
     mark = outputs.load_mark(mark_path)
     images = read_rasters(spark, source)
     good = images.where("error IS NULL").withColumn("box", S.badge_box(F.col("width"), F.col("height"), F.lit(mark.shape[1]), F.lit(mark.shape[0]), position, scale))
     planned = good.withColumn("target", F.concat(F.lit(output.rstrip("/") + "/"), S.stem_of(F.col("source_path")), F.lit(".png")))
-    done = outputs.write_blobs(outputs.mark_images(planned, mark), output, force)
+    done = outputs.write_blobs(outputs.mark_images(planned.where("box IS NOT NULL"), mark), output, force)
     counts = count_by(materialise(done, "marked"), "outcome")
-    return counts | {"undecodable": images.where("error IS NOT NULL").count()}
+    misfits = planned.where("box IS NULL").count()
+    return counts | {"undecodable": images.where("error IS NOT NULL").count()} | ({"does_not_fit": misfits} if misfits else {})
 
 
 class Timings:

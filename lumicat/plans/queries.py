@@ -252,7 +252,7 @@ def exact_dup_ids(s, d):
 # --- writes -----------------------------------------------------------------------------------------
 
 _SPLIT = """, old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_path) AS k FROM photos WHERE doc_id % 3 = 0) WHERE k = 1),
-batch AS (SELECT *, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN (SELECT max(o.source_path) FROM old o WHERE o.doc_id = photos.doc_id - photos.doc_id % 3) ELSE source_path END AS new_path FROM photos WHERE doc_id % 2 = 0),
+batch AS (SELECT *, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN (SELECT max(o.source_path) FROM old o WHERE o.doc_id = photos.doc_id - photos.doc_id % 3) ELSE source_path END AS new_path FROM photos),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY new_path, ingested_at_unix_seconds) AS nth FROM batch),
 fresh AS (SELECT r.*, r.nth = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.id = r.id) AS is_new FROM ranked r),
 judged AS (
@@ -268,7 +268,7 @@ def _upsert(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = _photos(s, d)
     old = K.one_per_id(p.where("doc_id % 3 = 0")).where("nth = 1").drop("nth")
     target = old.select(F.col("doc_id").alias("t_doc"), F.col("source_path").alias("t_path"))
-    batch = p.where("doc_id % 2 = 0").join(target, F.col("doc_id") - F.col("doc_id") % 3 == F.col("t_doc"), "left")
+    batch = p.join(target, F.col("doc_id") - F.col("doc_id") % 3 == F.col("t_doc"), "left")
     moved = (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 3 != 0)
     batch = batch.withColumn("source_path", F.when(moved, F.col("t_path")).otherwise(F.col("source_path"))).drop("t_doc", "t_path")
     return K.upsert(old.select(*K.PHOTO_COLUMNS), batch.select(*K.PHOTO_COLUMNS), 1795000000)
@@ -533,11 +533,11 @@ def stage_counters(s, d):
 # --- pixels and geometry -----------------------------------------------------------------------------------
 
 
-@query("""WITH x AS (SELECT i, i / 65535.0::DOUBLE * 2.0::DOUBLE ** 0.5 AS e FROM range(0, 65536, 257) t(i)),
+@query("""WITH x AS (SELECT i, i / 65535.0::DOUBLE * 2.0::DOUBLE ** 0.5 AS e FROM range(65536) t(i)),
  y AS (SELECT i, greatest(0.0, least(1.0, (e * (2.51::DOUBLE * e + 0.03::DOUBLE)) / (e * (2.43::DOUBLE * e + 0.59::DOUBLE) + 0.14::DOUBLE))) AS m FROM x)
  SELECT i AS sample, greatest(0, least(255, floor((CASE WHEN m <= 0.0031308 THEN 12.92::DOUBLE * m ELSE 1.055::DOUBLE * m ** (1 / 2.4::DOUBLE) - 0.055::DOUBLE END) * 255 + 0.5)::INT)) AS value FROM y""", fixtures=False)
 def tone_lut(s, d):
-    return s.range(0, 65536, 257).select(F.col("id").alias("sample"), S.tone_value(F.col("id"), 0.5).alias("value"))
+    return s.range(65536).select(F.col("id").alias("sample"), S.tone_value(F.col("id"), 0.5).alias("value"))
 
 
 @query("""WITH h AS (SELECT DISTINCT 1 + doc_id % 97 AS height FROM documents), b AS (SELECT height, floor(height * 0.3 + 0.5)::INT AS band FROM h)

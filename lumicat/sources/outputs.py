@@ -113,7 +113,7 @@ def load_mark(path: str) -> np.ndarray:
 def mark_images(images: DataFrame, mark: np.ndarray) -> DataFrame:
     """(target, data) of images (target, width, height, rgb, box): the mark laid over each image's box.
 
-    An image without a box (the mark doesn't fit) is written without the mark.
+    Images without a box (the mark doesn't fit) are not for this: an unmarked copy is never written.
     """
     shared = images.sparkSession.sparkContext.broadcast(mark)  # one picture
 
@@ -121,8 +121,8 @@ def mark_images(images: DataFrame, mark: np.ndarray) -> DataFrame:
         for batch in batches:
             data = []
             for w, h, rgb, box in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgb", "box"))):
-                marks = [(shared.value, (box["x"], box["y"], box["w"], box["h"]))] if box else []
-                data.append(render(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), marks=marks))
+                mark = (shared.value, (box["x"], box["y"], box["w"], box["h"]))
+                data.append(render(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), marks=[mark]))
             yield pa.RecordBatch.from_arrays([batch.column("target"), pa.array(data, pa.binary())], names=["target", "data"])
 
     return images.select("target", "width", "height", "rgb", "box").mapInArrow(run, "target string, data binary")

@@ -14,6 +14,7 @@ from xml.parsers.expat import ExpatError
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lumicat.functions.scalars import NUMBER, WHITE_SPACE
 from lumicat import config as C
 
 MAX_DEPTH = 64
@@ -48,13 +49,15 @@ def _nearest(x: float) -> int:
 
 def parse_value(kind: str, text: str):
     """A value of the kind, or None if the text isn't one."""
-    t = text.strip()
+    t = text.strip(WHITE_SPACE)
+    if kind in ("int", "long", "float") and not re.fullmatch(NUMBER, t):
+        return None
     try:
         if kind == "int":
             f = float(t)
             return _nearest(f) if math.isfinite(f) and -(2**31) <= f <= 2**31 - 1 else None
         if kind == "long":
-            return int(t) if re.fullmatch(r"[+-]?\d+", t) else _nearest(float(t))
+            return int(t) if re.fullmatch(r"[+-]?[0-9]+", t) else _nearest(float(t))
         if kind == "float":
             f = float(t)
             return f if math.isfinite(f) else None
@@ -185,7 +188,7 @@ def render(existing: str | None, settings: dict) -> str:
             used.add(prefix)
     for prefix in sorted(used):
         target.setAttribute(f"xmlns:{prefix}", NAMESPACES[prefix])
-    return doc.documentElement.toxml()
+    return "\n".join(n.toxml() for n in doc.childNodes)  # processing instructions and comments around the root stay
 
 
 def is_managed_keyword(word: str, root: str = C.DEFAULT.keyword_root) -> bool:

@@ -22,14 +22,14 @@ class CatalogError(RuntimeError):
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str, lock_timeout: float = 30.0):
+    def __init__(self, spark: SparkSession, root: str, lock_timeout: float = 30.0, lock_stale: float = 3600.0):
         self.spark, self.root = spark, root.rstrip("/")
         self._locked = False
         jvm = spark.sparkContext._jvm
         self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path())
-        self._lock(lock_timeout)
+        self._lock(lock_timeout, lock_stale)
         try:
             self.meta = self._read_meta()
             if self.meta is None:
@@ -46,9 +46,17 @@ class Catalog:
             self.close()
             raise
 
-    def _lock(self, timeout: float) -> None:
+    def _lock(self, timeout: float, stale: float) -> None:
+        """Waits for the lock; one that its owner has not renewed for ``stale`` seconds (commits do) was left by a crash."""
         end = time.monotonic() + timeout
         while not self._fs.createNewFile(self._path("_lock")):
+            try:
+                age = time.time() - self._fs.getFileStatus(self._path("_lock")).getModificationTime() / 1000
+            except Exception:  # it has just gone
+                continue
+            if age > stale:
+                self._fs.delete(self._path("_lock"), False)
+                continue
             if time.monotonic() > end:
                 raise CatalogError(f"{self.root} is locked by another writer")
             time.sleep(0.05)
@@ -99,6 +107,7 @@ class Catalog:
         """Write the tables as new snapshots, then make them current together."""
         if not self._locked:
             raise CatalogError("the catalog is closed")
+        self._fs.setTimes(self._path("_lock"), int(time.time() * 1000), -1)
         folders = {}
         for table, df in changes.items():
             names = schema.tables(self.meta["version"])[table].names
