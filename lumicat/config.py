@@ -40,6 +40,11 @@ RASTER_EXTENSIONS = ("jpg", "jpeg", "png")
 TESTED_RAW = ("cr3",)
 UNTESTED_RAW = ("cr2", "nef", "arw", "raf", "orf", "rw2", "dng")
 
+#: Heights of the two marks (top right, bottom left) as shares of the image's height, and
+#: their margin as a share of its short edge.
+MARK_HEIGHTS = {"top_right": 0.14, "bottom_left": 0.13}
+MARK_MARGIN = 0.046
+
 NAME_MAX_BYTES = 255
 WINDOW_BYTES = 64 * 1024
 MTIME_SLACK_SECONDS = 2.1

@@ -74,6 +74,11 @@ def tier(score: Column) -> Column:
     return F.when(is_finite(s), out)
 
 
+def effective_rating(own: Column, score: Column) -> Column:
+    """A sidecar's own rating, else that of the score, else 0; null for a score that isn't finite."""
+    return F.when(own.isNotNull() | score.isNull() | is_finite(score), F.coalesce(own, rating(score), F.lit(0)))
+
+
 def color_label(score: Column, red: str = C.DEFAULT.red_label, green: str = C.DEFAULT.green_label) -> Column:
     """Red below 4, green from 7, else the empty text, which clears a label; null without a score."""
     s = score.cast("float").cast("double")
@@ -143,7 +148,7 @@ def export_name(path: Column, score: Column, cluster: Column, with_cluster: bool
     if with_cluster:
         parts.append(F.coalesce(F.when(cluster.isNotNull(), F.format_string("cluster-%03d-", cluster)), F.lit("")))
     if with_score:
-        parts.append(F.coalesce(F.when(score.isNotNull(), F.concat(F.lit("cull-"), two_decimals(score), F.lit("-"))), F.lit("")))
+        parts.append(F.coalesce(F.when(is_finite(score), F.concat(F.lit("cull-"), two_decimals(score), F.lit("-"))), F.lit("")))
     return F.concat(*parts, stem_of(path), F.lit(".jpg"))
 
 
@@ -243,6 +248,11 @@ def parse_time(text: Column) -> Column:
     return F.when(t.rlike(r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.try_to_timestamp(F.upper(t)))
 
 
+def valid_settings(temperature: Column, tint: Column, score: Column) -> Column:
+    """The strict ranges of values that a caller sets (what is read from files is clamped or dropped)."""
+    return temperature.between(2000, 50000) & tint.between(-150, 150) & valid_score(score)
+
+
 def clamp(x: Column, low, high) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
@@ -299,7 +309,10 @@ def fitted_size(width: Column, height: Column, long_edge: int, downscale_only: b
 
 
 def mark_box(tw: Column, th: Column, mw: Column, mh: Column, height_frac: float, margin_x: Column, margin_y: Column, slot: str) -> Column:
-    """Struct x, y, w, h of a mark at the top right or bottom left; null if it doesn't fit."""
+    """Struct x, y, w, h of a mark at the top right or bottom left; null if it doesn't fit.
+
+    Equal margins: pass one column as both.
+    """
     h = F.greatest(F.lit(1), F.floor(th * F.lit(height_frac) + 0.5).cast("int"))
     w = F.greatest(F.lit(1), F.floor(mw * (h / F.greatest(mh, F.lit(1))) + 0.5).cast("int"))
     x, y = (tw - margin_x - w, margin_y) if slot == "top_right" else (margin_x, th - margin_y - h)

@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumicat import config as C
 from lumicat.functions import scalars as S
 
-FACTS = "source_path string, file_size long, mtime long, content_id string, error string"
+FOUND = StructType().add("found_size", "long").add("found_mtime", "long").add("found_id", "string").add("found_error", "string")
 
 
 def walk(root: str, skip_dirs: tuple[str, ...] = (C.DEFAULT.catalog_dir,), prune: str | None = None, sort: bool = False, on_error: Callable[[OSError], None] | None = None) -> Iterator[str]:
@@ -60,27 +61,40 @@ def derive_id(path: str, size: int, mtime: int) -> str:
     return h.hexdigest()
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """Size, mtime and content id of each path; ``error`` says why there is no id."""
+def with_facts(rows: DataFrame, path: str = "source_path", derive: bool = True) -> DataFrame:
+    """Rows with found_size, found_mtime, found_id and found_error of the file each ``path`` names.
+
+    found_error: null, file_missing, zero_bytes (derive only) or derive_failed with a reason. Without
+    ``derive`` files are only looked up, not read. No shuffle: the columns pass through.
+    """
+    at = rows.columns.index(path)
+    schema = StructType(rows.schema.fields + FOUND.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path in batch.column(0).to_pylist():
+            found = []
+            for name in batch.column(at).to_pylist():
                 size = mtime = digest = error = None
                 try:
-                    st = os.stat(path)
+                    st = os.stat(name)
                     size, mtime = st.st_size, int(st.st_mtime)
-                    digest = derive_id(path, size, mtime)
+                    digest = derive_id(name, size, mtime) if derive else None
                 except FileNotFoundError:
                     error = "file_missing"
-                except (OSError, ValueError) as e:
+                except (OSError, ValueError, TypeError) as e:
                     error = "zero_bytes" if size == 0 else f"derive_failed: {e}"
-                rows.append((path, size, mtime, digest, error))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=[x.strip().split(" ")[0] for x in FACTS.split(",")])
+                found.append((size, mtime, digest, error))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            extra = [pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 4, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
-    return files.select("source_path").mapInArrow(run, FACTS)
+
+def facts(files: DataFrame) -> DataFrame:
+    """Size, mtime and content id of each path; ``error`` says why there is no id."""
+    found = with_facts(files.select("source_path"))
+    return found.toDF("source_path", "file_size", "mtime", "content_id", "error")
 
 
 def absolute(path: str, root: str) -> str:

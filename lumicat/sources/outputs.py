@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumicat.functions.pixels import decode_png, render
+from lumicat.functions.pixels import decode_png, render, tone_table
 from lumicat.sources.sidecar import merge_and_write, replace_file
 
 OUTCOME = "target string, outcome string, error string"
@@ -128,14 +128,32 @@ def mark_images(images: DataFrame, mark: np.ndarray) -> DataFrame:
     return images.select("target", "width", "height", "rgb", "box").mapInArrow(run, "target string, data binary")
 
 
-def render_images(images: DataFrame, long_edge: int | None, downscale_only: bool = False, shadow: float = 0.0) -> DataFrame:
-    """(target, data) of images (target, width, height, rgb): resized, shaded, encoded as PNG."""
+def render_images(images: DataFrame, long_edge: int | None, downscale_only: bool = False, shadow: float = 0.0, marks: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """(target, data) of images (target, width, height, rgb): resized, shaded, marked, encoded as PNG.
+
+    With a column ``linear`` (16-bit samples, low byte first), rows that have it are toned by their
+    ``exposure`` instead of taken from ``rgb``. ``marks``: RGBA by the name of the column of its box.
+    """
+    shared = images.sparkSession.sparkContext.broadcast(marks or {})  # at most one picture for each slot
+    toned = "linear" in images.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        luts: dict[float, np.ndarray] = {}
         for batch in batches:
             data = []
-            for w, h, rgb in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgb"))):
-                data.append(render(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), long_edge, downscale_only, shadow))
+            for k in range(batch.num_rows):
+                w, h, rgb = (batch.column(c)[k].as_py() for c in ("width", "height", "rgb"))
+                samples = batch.column("linear")[k].as_py() if toned else None
+                if samples is not None:
+                    ev = batch.column("exposure")[k].as_py() or 0.0
+                    if ev not in luts:
+                        luts = {ev: tone_table(ev)}
+                    image = luts[ev][np.frombuffer(samples, "<u2")].reshape(h, w, 3)
+                else:
+                    image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
+                laid = [(mark, tuple(batch.column(slot)[k].as_py()[c] for c in "xywh")) for slot, mark in shared.value.items()]
+                data.append(render(image, long_edge, downscale_only, shadow, laid))
             yield pa.RecordBatch.from_arrays([batch.column("target"), pa.array(data, pa.binary())], names=["target", "data"])
 
-    return images.select("target", "width", "height", "rgb").mapInArrow(run, "target string, data binary")
+    columns = ["target", "width", "height", "rgb", *(["linear", "exposure"] if toned else []), *(marks or {})]
+    return images.select(*columns).mapInArrow(run, "target string, data binary")

@@ -13,6 +13,7 @@ from xml.parsers.expat import ExpatError
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumicat.functions.scalars import NUMBER, WHITE_SPACE
 from lumicat import config as C
@@ -286,3 +287,28 @@ def read_sidecars(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in fields], names=[n for n, _ in fields])
 
     return files.select("sidecar", "text").mapInArrow(run, PARSED)
+
+
+def with_sidecars(rows: DataFrame, fields: tuple[str, ...], path: str = "sidecar") -> DataFrame:
+    """Rows with xmp_<field> of the sidecar file each ``path`` names, null without one, and xmp_error.
+
+    The files are read where the rows are; the columns pass through without a shuffle.
+    """
+    at = rows.columns.index(path)
+    schema = rows.select("*", *(F.lit(None).cast(_NAMES[FIELDS[f][2]]).alias(f"xmp_{f}") for f in fields), F.lit(None).cast("string").alias("xmp_error")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(at).to_pylist():
+                try:
+                    with open(name, encoding="utf-8") as f:
+                        found.append(parse(f.read()) | {"error": None})
+                except FileNotFoundError:
+                    found.append({})
+                except (OSError, ValueError) as e:
+                    found.append({"error": str(e)})
+            extra = [pa.array([x.get(f) for x in found], _TYPES[FIELDS[f][2]]) for f in fields]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra, pa.array([x.get("error") for x in found], pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

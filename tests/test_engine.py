@@ -265,10 +265,10 @@ def test_run(spark, tmp_path):
         code, report = P.run(c, cfg, scorer, embedder, decode)
         assert code == 0 and report["ingest"]["inserted"] == 3 and report["ingest"]["already_catalogued"] == 3
         assert report["score"] == {"inserted": 3} and report["dedup"]["clusters"] == 2 and report["dedup"]["singletons"] == 1
-        assert report["develop"] == {"created": 3} and report["export"] == {"written": 2}
+        assert report["develop"] == {"created": 3} and report["export"] == {"written": 2, "skipped_rating": 1}
         assert sidecar.parse((source / "IMG_2.xmp").read_text())["rating"] == 4
         code, report = P.run(c, cfg, scorer, embedder, decode)
-        assert report["ingest"]["already_catalogued"] == 6 and "clusters" not in report["dedup"] and report["export"] == {"skipped": 2}
+        assert report["ingest"]["already_catalogued"] == 6 and "clusters" not in report["dedup"] and report["export"] == {"skipped": 2, "skipped_rating": 1}
         renamed = P.RunConfig(str(source), str(tmp_path / "renamed"), 1)
         assert P.rename(c, renamed) == {"copied": 3}
     with pytest.raises(ValueError):
@@ -335,3 +335,81 @@ def test_stale_lock_is_taken_over(spark, tmp_path):
     with pytest.raises(CatalogError):
         Catalog(spark, f"file://{tmp_path}/c", lock_timeout=0.2)
     Catalog(spark, f"file://{tmp_path}/c", lock_timeout=0.2, lock_stale=0.0).close()
+
+
+def small_catalog(spark, tmp_path, n):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(n):
+        (source / f"IMG_{i}.cr3").write_bytes(bytes([i]) * 300)
+        os.utime(source / f"IMG_{i}.cr3", (1577836800, 1577836800))
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    cfg = P.RunConfig(str(source), str(tmp_path / "out"), 1_800_000_000)
+    P.ingest(c, cfg)
+    return source, c, cfg
+
+
+def digit_scores(rows):
+    digit = F.regexp_extract("source_path", r"_(\d)", 1).cast("int")
+    return rows.select(F.col("id").alias("photo_id"), (9.0 - digit).alias("aesthetic_score"))
+
+
+def test_stages_look_at_the_files_again(spark, tmp_path):
+    source, c, cfg = small_catalog(spark, tmp_path, 4)
+    with c:
+        (source / "IMG_0.cr3").unlink()
+        (source / "IMG_1.cr3").write_bytes(b"other")
+        (source / "IMG_2.cr3").write_bytes(b"")
+        assert P.score(c, cfg, digit_scores) == {"inserted": 1, "file_missing": 1, "content_changed": 1, "derive_failed": 1}
+        embedder = lambda rows: rows.select(F.col("id").alias("photo_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"))
+        assert {k: v for k, v in P.dedup(c, cfg, embedder).items() if k in ("embedded", "file_missing", "content_changed", "derive_failed")} == {"embedded": 1, "file_missing": 1, "content_changed": 1, "derive_failed": 1}
+        assert P.develop(c, cfg) == {"created": 3, "file_missing": 1}  # these need the file to be there, no more
+        assert P.rename(c, P.RunConfig(str(source), str(tmp_path / "renamed"), 1)) == {"copied": 3, "file_missing": 1}
+
+
+def test_sidecars_decide_what_is_exported(spark, tmp_path):
+    source, c, cfg = small_catalog(spark, tmp_path, 6)
+    linear = np.array([0, 20000, 65535] * 4, "<u2").tobytes()
+    decode = lambda rows: rows.select("source_path", F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit(b"\x10" * 12).alias("rgb"), F.when(F.col("source_path").contains("_5"), F.lit(linear)).alias("linear"))
+    with c:
+        P.score(c, cfg, digit_scores)
+        described = "<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:xmp='http://ns.adobe.com/xap/1.0/' xmlns:crs='http://ns.adobe.com/camera-raw-settings/1.0/'><rdf:Description %s/></rdf:RDF>"
+        (source / "IMG_0.xmp").write_text(described % "xmp:Rating='-1'")  # rejected in an editor
+        (source / "IMG_1.xmp").write_text("<broken")
+        (source / "IMG_5.xmp").write_text(described % "xmp:Rating='5' crs:Exposure2012='1.5'")
+        (source / "IMG_2.cr3").unlink()
+        assert P.export(c, cfg, decode) == {"written": 2, "skipped_rating": 2, "failed": 1, "file_missing": 1}  # 5.0 has two stars
+        out = pixels.decode_png((tmp_path / "out" / "cull-04.00-IMG_5.png").read_bytes())
+        assert out[0, 0, :3].tolist() == [int(pixels.tone_table(1.5)[i]) for i in (0, 20000, 65535)]
+        assert P.export(c, cfg, decode)["skipped"] == 2
+
+
+def test_scores_that_are_not_finite_fail_their_photo(spark, tmp_path):
+    source, c, cfg = small_catalog(spark, tmp_path, 3)
+    decode = lambda rows: rows.select("source_path", F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit(b"\x10" * 12).alias("rgb"))
+    with c:
+        P.score(c, cfg, digit_scores)
+        bad = F.when(F.col("aesthetic_score") == 9.0, float("inf")).otherwise(F.col("aesthetic_score")).alias("aesthetic_score")
+        c.commit({"cull_scores": c.read("cull_scores").withColumn("aesthetic_score", bad)})
+        assert P.develop(c, cfg) == {"created": 2, "failed": 1} and not (source / "IMG_0.xmp").exists()
+        assert P.export(c, cfg, decode) == {"written": 2, "failed": 1}
+
+
+def test_marks_in_export(spark, tmp_path):
+    source, c, cfg = small_catalog(spark, tmp_path, 2)
+    size = F.when(F.col("source_path").contains("_1"), 4).otherwise(100)
+    decode = lambda rows: rows.select("source_path", size.alias("width"), F.lit(100).alias("height"), F.when(size == 4, F.lit(b"\x10" * 1200)).otherwise(F.lit(b"\x10" * 30000)).alias("rgb"))
+    (tmp_path / "mark.png").write_bytes(pixels.encode_png(np.full((14, 28, 4), 255, np.uint8)))
+    with c:
+        P.score(c, cfg, digit_scores)
+        got = P.export(c, cfg, decode, marks={"top_right": str(tmp_path / "mark.png"), "bottom_left": str(tmp_path / "mark.png")})
+        assert got == {"written": 1, "failed": 1}  # the narrow one has no room for marks
+    out = pixels.decode_png((tmp_path / "out" / "cull-09.00-IMG_0.png").read_bytes())[:, :, 0]
+    assert (out[6:18, 68:94] == 255).all() and (out[83:94, 6:30] == 255).all() and (out[30:70] == 16).all()
+
+
+def test_labels_argument():
+    assert P.labels_arg(" Rot ", "Grün") == ("Rot", "Grün")
+    for bad in (("", "Green"), ("Red", "\u2003"), ("x", " x"), ("a\x07", "b"), ("a", "\ufffe")):
+        with pytest.raises(ValueError):
+            P.labels_arg(*bad)
