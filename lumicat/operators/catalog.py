@@ -102,6 +102,16 @@ def insert_scores(scores: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataF
     return insert_first(scores, batch, ["photo_id", "model_slug"], S.valid_score(F.col("aesthetic_score")), ["scored_at_unix_seconds", "aesthetic_score"])
 
 
+def valid_id(photo_id: Column) -> Column:
+    """The text of 32 bytes in hex: rows with another id are corrupt and dropped."""
+    return F.coalesce(photo_id.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
+
+
+def export_outcome(stars: Column, minimum: int) -> Column:
+    """What an effective rating means for a photo's export; null stars come from a score that isn't finite."""
+    return F.when(stars.isNull(), "failed").when((stars == -1) | (stars < minimum), "skipped_rating").otherwise("render")
+
+
 def valid_embedding(vector: Column, dim: Column) -> Column:
     return dim.between(1, C.DIM_MAX) & (F.size(vector) == dim)
 

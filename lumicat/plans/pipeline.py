@@ -206,7 +206,8 @@ def export(catalog: Catalog, cfg: RunConfig, decode: Callable[[DataFrame], DataF
     seen = seen.withColumn("stars", S.effective_rating(F.col("xmp_rating"), F.col("aesthetic_score"))).withColumn("target", F.concat(F.lit(cfg.output.rstrip("/") + "/"), F.regexp_replace("file_name", "\\.jpg$", ".png")))
     seen = files.with_facts(seen, "target", derive=False)
     present = F.col("found_error").isNull() & F.lit(not cfg.force)
-    fate = F.when(F.col("xmp_error").isNotNull() | F.col("stars").isNull(), "failed").when((F.col("stars") == -1) | (F.col("stars") < cfg.minimum_rating), "skipped_rating").when(present, "skipped").otherwise("render")
+    judged = F.when(F.col("xmp_error").isNotNull(), "failed").otherwise(K.export_outcome(F.col("stars"), cfg.minimum_rating))
+    fate = F.when((judged == "render") & present, "skipped").otherwise(judged)
     seen = materialise(seen.select("source_path", "target", F.col("xmp_exposure").alias("exposure"), fate.alias("outcome")), "export-plan")
     counts = count_by(seen.where("outcome <> 'render'"), "outcome") | wrong
     wanted = seen.where("outcome = 'render'").drop("outcome")

@@ -13,6 +13,7 @@ from lumicat.operators import catalog as K
 from lumicat.operators import dedup as D
 from lumicat.operators import listing as L
 from lumicat.operators import naming as N
+from lumicat.sources import sidecar
 from lumicat.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,10 +239,24 @@ def photo_id_text(s, d):
     return _photos(s, d).select("doc_id", S.id_text(F.unhex("id")).alias("id_text"))
 
 
-@query()
+def _low_first(x: str) -> str:
+    """SQL of a number's 8 bytes, low byte first."""
+    return "unhex(" + " || ".join(f"substr(lpad(to_hex(({x})::BIGINT), 16, '0'), {15 - 2 * i}, 2)" for i in range(8)) + ")"
+
+
+@query(f"""WITH c AS (SELECT doc_id, encode(repeat(text, 8)) AS b, doc_id * 4000000 AS mtime FROM documents), n AS (SELECT *, octet_length(b) AS n FROM c),
+ k AS (SELECT *, greatest(n - {C.WINDOW_BYTES}, least(n, {C.WINDOW_BYTES})) AS tail FROM n)
+ SELECT doc_id, sha256({_low_first('n')} || {_low_first(f'greatest({C.MTIME_MIN}, least({C.MTIME_MAX}, mtime))')} || array_slice(b, 1, least(n, {C.WINDOW_BYTES})) || CASE WHEN tail < n THEN array_slice(b, tail + 1, n) ELSE ''::BLOB END) AS content_id FROM k""", fixtures=False)
 def content_ids(s, d):
-    docs = T.read(s, d, "documents")
-    return docs.select("doc_id", S.content_id(F.octet_length("text"), F.lit(1577836800), F.col("text").cast("binary")).alias("content_id"))
+    body = F.repeat("text", F.lit(8))  # long enough that some files have a middle that isn't read
+    return T.read(s, d, "documents").select("doc_id", S.content_id(F.octet_length(body), F.col("doc_id") * 4000000, body.cast("binary")).alias("content_id"))
+
+
+@query(" SELECT doc_id, length(id) = 64 AND doc_id % 4 = 0 AS valid FROM photos")
+def id_valid(s, d):
+    i = F.col("id")
+    broken = F.element_at(F.array(i, F.substring(i, 1, 62), F.upper(F.concat(F.substring(i, 1, 63), F.lit("a"))), F.concat(i, F.lit("\n"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _photos(s, d).select("doc_id", K.valid_id(broken).alias("valid"))
 
 
 @query(" SELECT id, count(*) AS n, min(doc_id) AS first_doc FROM photos GROUP BY id HAVING count(*) > 1")
@@ -374,6 +389,28 @@ def cluster_stats(s, d):
     return D.cluster_stats(_clusters(s, d))
 
 
+_ACTIVE_PAIRS = f""", av AS (SELECT a.doc_id, a.ingested_at_unix_seconds AS ingested, v.embedding::DOUBLE[] AS e FROM active a JOIN vectors v ON v.doc_id = a.doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM av x JOIN av y ON x.doc_id < y.doc_id WHERE list_dot_product(x.e, y.e) >= {THRESHOLD}),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM av UNION SELECT r.id, CASE WHEN p.a = r.other THEN p.b ELSE p.a END FROM reach r JOIN pairs p ON r.other IN (p.a, p.b)),
+comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id),
+firsts AS (SELECT component, min(ingested * 1000000000 + id) AS first, count(*) AS cluster_size FROM comp JOIN av ON av.doc_id = comp.id GROUP BY component),
+numbered AS (SELECT component, cluster_size, row_number() OVER (ORDER BY first, component) - 1 AS cluster_id FROM firsts)"""
+
+
+@query(_ACTIVE_PAIRS + " SELECT c.id, c.component, n.cluster_id, n.cluster_size FROM comp c JOIN numbered n USING (component)")
+def dedup_active(s, d):
+    photos = _photos(s, d).withColumn("id", F.col("doc_id"))
+    return D.dedup(photos, T.embeddings(s, d).withColumnRenamed("doc_id", "photo_id"), EMBEDDING_MODEL, THRESHOLD, unembedded=1)
+
+
+@query("""SELECT a.vec_id, round(greatest(-1, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity
+ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""", fixtures=False)
+def neighbour_cosine(s, d):
+    e = T.read(s, d, "embeddings").select("vec_id", "embedding")
+    following = e.select((F.col("vec_id") - 1).alias("before"), F.col("embedding").alias("other"))
+    return e.join(following, F.col("vec_id") == F.col("before")).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
 # --- names ------------------------------------------------------------------------------------------------
 
 _EXPORT = """, cand AS (SELECT doc_id, ingested_at_unix_seconds, id,
@@ -420,6 +457,19 @@ def source_kind(s, d):
     return _photos(s, d).select("doc_id", S.source_kind(path).alias("kind"), S.is_ingestible(path).alias("ingestible"))
 
 
+_STEMS = ("photo", "a\\b", "tab\there", "x\u0085y", "\u65e5\u672c", "h\u00e9llo", "\U0001f600", "a/b", "")
+_STEM_LIST = ", ".join("'" + x + "'" for x in _STEMS)
+
+
+@query(f"""WITH n AS (SELECT doc_id, [{_STEM_LIST}][doc_id % {len(_STEMS)} + 1] AS stem, doc_id % 61 AS most FROM documents), r AS (SELECT *, repeat(stem, (doc_id % 13)::BIGINT) AS long FROM n)
+ SELECT doc_id, CASE WHEN NOT regexp_matches(stem, '[/\\\\\\x00-\\x1F\\x7F\\x{{80}}-\\x{{9F}}]') THEN stem END AS safe,
+   left(long, len(list_filter(range(1, length(long) + 1), lambda k: strlen(left(long, k)) <= most))) AS capped FROM r""", fixtures=False)
+def safe_names(s, d):
+    stem = F.element_at(F.array(*map(F.lit, _STEMS)), (F.col("doc_id") % len(_STEMS) + 1).cast("int"))
+    long = F.repeat(stem, (F.col("doc_id") % 13).cast("int"))
+    return T.read(s, d, "documents").select("doc_id", S.safe_stem(stem).alias("safe"), S.cap_bytes(long, (F.col("doc_id") % 61).cast("int")).alias("capped"))
+
+
 @query(" SELECT doc_id FROM develop WHERE doc_id % 4 <> 0")
 def skip_existing(s, d):
     rows = _develop(s, d).select("doc_id", F.col("source_path").alias("output"))
@@ -433,10 +483,35 @@ def skip_existing(s, d):
  SELECT doc_id, coalesce(xmp, {RATING_SQL}, 0) AS effective FROM x WHERE coalesce(xmp, {RATING_SQL}, 0) >= 3""")
 def effective_rating(s, d):
     xmp = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 7 - 1)
-    rows = _develop(s, d).select("doc_id", F.coalesce(xmp, S.rating(F.col("aesthetic_score")), F.lit(0)).alias("effective"))
+    rows = _develop(s, d).select("doc_id", S.effective_rating(xmp, F.col("aesthetic_score")).alias("effective"))
     return rows.where((F.col("effective") != -1) & (F.col("effective") >= 3))
 
 
+@query(f""", x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 7) - 1 END AS xmp, aesthetic_score IS NOT NULL AND doc_id % 3 = 0 AS odd, aesthetic_score::FLOAT::DOUBLE AS f FROM develop)
+ SELECT doc_id, CASE WHEN xmp IS NULL AND odd THEN 'failed' WHEN coalesce(xmp, {RATING_SQL}, 0) >= 3 THEN 'render' ELSE 'skipped_rating' END AS outcome FROM x""")
+def export_outcomes(s, d):
+    i, a = F.col("doc_id"), F.col("aesthetic_score")
+    odd = F.when(i % 2 == 0, float("nan")).otherwise(float("-inf"))
+    score = F.when(a.isNotNull() & (i % 3 == 0), odd).otherwise(a)
+    return _develop(s, d).select("doc_id", K.export_outcome(S.effective_rating(F.when(i % 5 == 0, i % 7 - 1), score), 3).alias("outcome"))
+
+
+@query(""" SELECT doc_id, CASE WHEN doc_id % 9 - 2 BETWEEN -1 AND 5 THEN doc_id % 9 - 2 END AS rating, CASE WHEN doc_id % 15 - 7 BETWEEN -5 AND 5 THEN (doc_id % 15 - 7)::DOUBLE END AS exposure,
+   CASE WHEN doc_id % 10 <> 0 THEN greatest(2000, least(50000, doc_id * 500)) END AS temperature, 'l' || doc_id AS label, CASE WHEN doc_id % 2 = 0 THEN 'a' || doc_id || ',z' ELSE '' END AS words, doc_id % 13 = 0 AS broken
+ FROM documents WHERE doc_id % 13 <> 0 UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, TRUE FROM documents WHERE doc_id % 13 = 0""", fixtures=False)
+def sidecar_fields(s, d):
+    i = F.col("doc_id")
+    warm = F.when(i % 10 == 0, "warm").otherwise((i * 500).cast("string"))
+    bag = F.when(i % 2 == 0, F.concat(F.lit("<dc:subject><rdf:Bag><rdf:li>z</rdf:li><rdf:li> a"), i.cast("string"), F.lit(" </rdf:li><rdf:li>z</rdf:li></rdf:Bag></dc:subject>"))).otherwise("")
+    spaces = " ".join(f"xmlns:{k}='{sidecar.NAMESPACES[k]}'" for k in ("rdf", "crs", "xmp", "dc"))
+    text = F.concat(
+        F.lit(f"<rdf:RDF {spaces}><rdf:Description xmp:Rating=' "), (i % 9 - 2).cast("string"), F.lit("' crs:Exposure2012='"), (i % 15 - 7).cast("string"), F.lit("' crs:Temperature='"), warm,
+        F.lit("'><xmp:Label>l"), i.cast("string"), F.lit("</xmp:Label>"), bag, F.lit("</rdf:Description>"), F.when(i % 13 == 0, "").otherwise("</rdf:RDF>"),
+    )
+    found = sidecar.read_sidecars(T.read(s, d, "documents").select(i.cast("string").alias("sidecar"), text.alias("text")))
+    return found.select(F.col("sidecar").cast("long").alias("doc_id"), F.col("rating").cast("long").alias("rating"), "exposure", F.col("temperature").cast("long").alias("temperature"), "label", F.array_join("keywords", ",").alias("words"), F.col("error").isNotNull().alias("broken"))
+
+
 @query(f""", n AS (SELECT doc_id, cluster_id, aesthetic_score::FLOAT::DOUBLE AS f FROM develop), t AS (SELECT *, {TIER_SQL} AS tier FROM n)
  SELECT doc_id, CASE WHEN tier IS NULL AND cluster_id IS NULL THEN '' ELSE 'lumicat' || coalesce(',nima:' || tier, '') || coalesce(',cluster:' || cluster_id, '') END AS flat,
    CASE WHEN tier IS NULL AND cluster_id IS NULL THEN '' ELSE 'lumicat' || coalesce(',lumicat|nima:' || tier, '') || coalesce(',lumicat|cluster:' || cluster_id, '') END AS tree FROM t""")
@@ -455,11 +530,11 @@ def managed_keywords(s, d):
 
 
 @query(""" SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'nima:good,z' || (doc_id % 4) || ',a' ELSE array_to_string(list_sort(list_distinct(['z' || (doc_id % 4), 'a', 'lumicat', 'a'])), ',') END AS merged,
-   array_to_string(list_sort(list_distinct(['b', 'a' || (doc_id % 3)])), ',') AS cleaned FROM documents""", fixtures=False)
+   array_to_string(list_sort(list_distinct(['b', 'a' || (doc_id % 3), 'c', 'd'])), ',') AS cleaned FROM documents""", fixtures=False)
 def keyword_merge(s, d):
     existing = F.array(F.lit("nima:good"), F.concat(F.lit("z"), (F.col("doc_id") % 4).cast("string")), F.lit("a"))
     incoming = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit("lumicat"), F.lit("a")))
-    messy = F.array(F.lit(" b "), F.lit(""), F.concat(F.lit("a"), (F.col("doc_id") % 3).cast("string")), F.lit("b"), F.lit("  "))
+    messy = F.array(F.lit(" b "), F.lit(""), F.concat(F.lit("a"), (F.col("doc_id") % 3).cast("string")), F.lit("b"), F.lit("  "), F.lit("\u2003c\t"), F.lit("\u3000d\xa0\n"), F.lit("\u2028"))
     return T.read(s, d, "documents").select("doc_id", F.array_join(S.merge_keywords(existing, incoming), ",").alias("merged"), F.array_join(S.clean_keywords(messy), ",").alias("cleaned"))
 
 
@@ -480,17 +555,18 @@ def conflict_decision(s, d):
     return T.read(s, d, "documents").select("doc_id", out.alias("outcome"))
 
 
-_RAW = ("5000", " 99999 ", "1e3", "abc", "-7.5", "NaN", "3.49", "")
+_RAW = ("5000", " 99999 ", "1e3", "abc", "-7.5", "NaN", "3.49", "", "7d", "7f", "1_000", "0x10", "\u0667")
+_NUMBER = "[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
-@query(f""", r AS (SELECT doc_id, try_cast(trim([{', '.join(repr(w) for w in _RAW)}][doc_id % 8 + 1]) AS DOUBLE) AS v FROM documents),
+@query(f""", r AS (SELECT doc_id, trim([{', '.join(repr(w) for w in _RAW)}][doc_id % {len(_RAW)} + 1]) AS t, CASE WHEN regexp_full_match(t, '{_NUMBER}') THEN try_cast(t AS DOUBLE) END AS v FROM documents),
  i AS (SELECT doc_id, CASE WHEN isfinite(v) THEN (CASE WHEN v < 0 THEN -floor(-v + 0.5) ELSE floor(v + 0.5) END)::INT END AS n, CASE WHEN isfinite(v) THEN v END AS f FROM r)
  SELECT doc_id, CASE WHEN n IS NOT NULL THEN greatest(2000, least(50000, n)) END AS temperature, CASE WHEN n IS NOT NULL THEN greatest(-150, least(150, n)) END AS tint,
    CASE WHEN f BETWEEN -5 AND 5 THEN f END AS exposure, CASE WHEN n BETWEEN -100 AND 100 THEN n END AS contrast FROM i""")
 def xmp_field_policy(s, d):
-    raw = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("doc_id") % 8 + 1).cast("int"))
+    raw = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("doc_id") % len(_RAW) + 1).cast("int"))
     n = S.parse_int32(raw)
-    f = F.trim(raw).try_cast("double")
+    f = S.number_text(raw).try_cast("double")
     exposure = S.or_null(F.when(S.is_finite(f), f), -5.0, 5.0)
     return T.read(s, d, "documents").select("doc_id", S.clamp(n, 2000, 50000).alias("temperature"), S.clamp(n, -150, 150).alias("tint"), exposure.alias("exposure"), S.or_null(n, -100, 100).alias("contrast"))
 
@@ -505,7 +581,7 @@ def field_merge(s, d):
 @query(" SELECT doc_id, (doc_id * 700) BETWEEN 2000 AND 50000 AND doc_id % 400 - 200 BETWEEN -150 AND 150 AND (doc_id % 120) / 10.0 BETWEEN 1 AND 10 AS valid FROM documents", fixtures=False)
 def settings_valid(s, d):
     i = F.col("doc_id")
-    ok = (i * 700).between(2000, 50000) & (i % 400 - 200).between(-150, 150) & S.valid_score((i % 120) / F.lit(10.0))
+    ok = S.valid_settings(i * 700, i % 400 - 200, (i % 120) / F.lit(10.0))
     return T.read(s, d, "documents").select("doc_id", ok.alias("valid"))
 
 
@@ -561,6 +637,34 @@ def mark_placement(s, d):
     return rows.withColumn("box", box).select("doc_id", *(F.col(f"box.{k}").alias(k) for k in "xywh"))
 
 
+@query(_BOX + " SELECT doc_id, CASE WHEN m + w <= tw AND th - m - h >= 0 THEN m END AS x, CASE WHEN m + w <= tw AND th - m - h >= 0 THEN th - m - h END AS y FROM w", fixtures=False)
+def mark_placement_bottom(s, d):
+    i = F.col("doc_id")
+    rows = T.read(s, d, "documents").select("doc_id", (100 + i % 900).alias("tw"), (80 + i % 700).alias("th"), (30 + i % 200).alias("mw"), (10 + i % 60).alias("mh"))
+    m = F.floor(F.least("tw", "th") * F.lit(0.02) + 0.5).cast("int")
+    box = S.mark_box(F.col("tw"), F.col("th"), F.col("mw"), F.col("mh"), 0.08, m, m, "bottom_left")
+    return rows.withColumn("box", box).select("doc_id", "box.x", "box.y")
+
+
+@query("""WITH p AS (SELECT doc_id, (60 + doc_id % 900)::DOUBLE AS tw, (40 + doc_id * 7 % 700)::DOUBLE AS th, (1 + doc_id % 200)::DOUBLE AS bw, (1 + doc_id * 3 % 90)::DOUBLE AS bh FROM documents),
+ k AS (SELECT *, greatest(greatest(tw, th) * 0.3::DOUBLE, 1) / greatest(bw, bh) AS k, greatest(8, floor(greatest(tw, th) * 0.015::DOUBLE + 0.5)) AS pad FROM p),
+ b AS (SELECT *, greatest(1, bw * k) AS w, greatest(1, bh * k) AS h FROM k), f AS (SELECT *, tw - pad - w >= 0 AND th - pad - h >= 0 AND pad + w <= tw AND pad + h <= th AS fits FROM b)
+ SELECT doc_id, CASE WHEN fits THEN floor(tw - pad - w + 0.5)::INT END AS x, CASE WHEN fits THEN floor(th - pad - h + 0.5)::INT END AS y, CASE WHEN fits THEN floor(w + 0.5)::INT END AS w, CASE WHEN fits THEN floor(h + 0.5)::INT END AS h FROM f""", fixtures=False)
+def badge_boxes(s, d):
+    i = F.col("doc_id")
+    box = S.badge_box(60 + i % 900, 40 + i * 7 % 700, (1 + i % 200).cast("double"), (1 + i * 3 % 90).cast("double"), "bottom_right", 30.0)
+    return T.read(s, d, "documents").withColumn("box", box).select("doc_id", *(F.col(f"box.{k}").alias(k) for k in "xywh"))
+
+
+@query("""WITH f AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2492765332 WHEN 1 THEN 370546198 WHEN 2 THEN 1633771873 WHEN 3 THEN 1229539657 ELSE doc_id * 97 END AS f FROM documents),
+ c AS (SELECT doc_id, substr('RGBG', (f & 3) + 1, 1) || substr('RGBG', (f >> 2 & 3) + 1, 1) || substr('RGBG', (f >> 4 & 3) + 1, 1) || substr('RGBG', (f >> 6 & 3) + 1, 1) AS cell FROM f)
+ SELECT doc_id, CASE WHEN cell IN ('RGGB', 'BGGR', 'GRBG', 'GBRG') THEN cell END AS cfa FROM c""", fixtures=False)
+def cfa_patterns(s, d):
+    i = F.col("doc_id")
+    mask = F.coalesce(*(F.when(i % 6 == k, F.lit(m)) for k, m in enumerate((2492765332, 370546198, 1633771873, 1229539657))), i * 97)
+    return T.read(s, d, "documents").select("doc_id", S.cfa_pattern(mask).alias("cfa"))
+
+
 @query("""WITH p AS (SELECT doc_id, (200 + doc_id % 800)::DOUBLE AS tw, (150 + doc_id % 600)::DOUBLE AS th FROM documents), m AS (SELECT *, greatest(8.0, floor(greatest(tw, th) * 0.015::DOUBLE + 0.5)) AS pad FROM p)
  SELECT doc_id, pad AS tl_x, tw - pad - 40 AS br_x, th - pad - 20 AS br_y, (tw - 40) / 2 AS c_x, (th - 20) / 2 AS c_y FROM m""", fixtures=False)
 def watermark_position(s, d):
