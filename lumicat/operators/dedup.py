@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,9 @@ from lumicat.functions import scalars as S
 from lumicat.operators.graph import components, global_index
 from lumicat.scratch import materialise
 
-BLOCK_ROWS = 2048
+BLOCK_BYTES = 64 << 20
+PRODUCT_ROWS = 2048
+CHECKED_PAIRS = 16384
 
 
 def valid_embeddings(rows: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -23,42 +26,83 @@ def valid_embeddings(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("norm", n).where((F.size(vector) > 0) & S.is_finite(n) & n.between(C.NORM_MIN, C.NORM_MAX))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _matrices(ids: pa.Array, vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) by size of vector, read from Arrow's buffers."""
+    i, sizes = ids.to_numpy(), vectors.value_lengths().to_numpy(zero_copy_only=False)
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    out = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        out[size] = (i[rows], flat[(ends[rows] - size)[:, None] + np.arange(size)] if len(rows) < len(i) else flat.reshape(-1, size))
+    return out
+
+
+def _over(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float, same: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of two matrices over the threshold; each is decided in doubles.
+
+    The matrix product may be of 32-bit floats: what its rounding could have hidden is tried too.
+    """
+    (ia, va), (ib, vb) = a, b
+    rough = (va.shape[1] + 2) * 2.0**-23 * float(np.nan_to_num(np.linalg.norm(va, axis=1)).max() * np.nan_to_num(np.linalg.norm(vb, axis=1)).max())
+    x, y = np.nonzero(va @ vb.T >= threshold - rough)
+    keep = ia[x] < ib[y] if same else ia[x] != ib[y]
+    x, y = x[keep], y[keep]
+    for k in range(0, len(x), CHECKED_PAIRS):
+        xs, ys = x[k : k + CHECKED_PAIRS], y[k : k + CHECKED_PAIRS]
+        sim = np.clip(np.einsum("ij,ij->i", va[xs].astype(np.float64), vb[ys].astype(np.float64)), -1.0, 1.0)
+        ok = sim >= threshold
+        p, q = ia[xs[ok]], ib[ys[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(sim[ok])], names=["a", "b", "similarity"])
+
+
+def block_count(n: int, dim: int, width: int, parallelism: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of at most about ``block_bytes``, and of at least 256 rows if more only serve parallelism.
+
+    Each row is sent once to each block, so rows sent are n times this: fewer, larger blocks send less.
+    """
+    needed = -(-n * max(dim, 1) * width // block_bytes)
+    return max(1, needed, min(math.isqrt(2 * parallelism) + 1, -(-n // 256)))
+
+
+def similar_pairs(rows: DataFrame, threshold: float, id_column: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs a < b of vectors of one size with cosine >= threshold.
 
-    Vectors are dealt into blocks of about ``block_rows``; each pair of blocks is one matrix product
-    in one task, and only pairs over the threshold leave it. Nothing but the blocks is in memory.
+    Vectors are dealt into blocks, and each pair of blocks is a tile: its rows come sorted by side, so
+    that a task holds one block of bounded bytes and streams the other against it. Only pairs over the
+    threshold leave a task. Null vectors, and those with a null element, have no pairs.
     """
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
-    dealt = rows.select(F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int").alias("block"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    packed = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    packed = materialise(packed, "vector-blocks")
-    left = packed.select(F.col("block").alias("i"), F.col("rows").alias("left"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
-    right = packed.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("rows").alias("right"), F.col("block").alias("j"))
-    pairs = left.join(right, ["i", "j"]).select("i", "j", "left", "right")
-
-    def unpack(rows_: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        sizes: dict[int, list] = {}
-        for r in rows_:
-            sizes.setdefault(len(r["v"]), []).append(r)
-        return {k: (np.array([r["id"] for r in v], np.int64), np.array([r["v"] for r in v])) for k, v in sizes.items()}
+    double = dict(rows.dtypes)[vector] != "array<float>"
+    dealt = rows.where(F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>" if double else "array<float>").alias("v"))
+    if blocks is None:
+        facts = dealt.agg(F.count("*").alias("n"), F.avg(F.size("v")).alias("dim")).first()
+        blocks = block_count(facts["n"], int(facts["dim"] or 1), 8 if double else 4, rows.sparkSession.sparkContext.defaultParallelism)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"), (k < F.col("block")).cast("int").alias("side")))
+    sent = dealt.withColumn("block", own).select(F.explode(tiles).alias("t"), "id", "v").select("t.i", "t.j", "t.side", "id", "v")
+    spread = max(1, min(blocks * (blocks + 1) // 2, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * rows.sparkSession.sparkContext.defaultParallelism)))
+    sent = sent.repartition(spread, "i", "j").sortWithinPartitions("i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                i, j = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                a, b = unpack(batch.column(2)[k].as_py()), unpack(batch.column(3)[k].as_py())
-                for size in a.keys() & b.keys():
-                    (ia, va), (ib, vb) = a[size], b[size]
-                    sim = np.clip(va @ vb.T, -1.0, 1.0)
-                    x, y = np.nonzero(sim >= threshold)
-                    keep = ia[x] < ib[y] if i == j else ia[x] != ib[y]
-                    x, y = x[keep], y[keep]
-                    low, high = np.minimum(ia[x], ib[y]), np.maximum(ia[x], ib[y])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(sim[x, y])], names=["a", "b", "similarity"])
-
-    return pairs.mapInArrow(run, "a long, b long, similarity double")
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            starts = sorted({0, *cuts.tolist(), *range(0, len(keys), PRODUCT_ROWS)}) if len(keys) else []
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                i, j, side = keys[start].tolist()
+                if tile != (i, j):
+                    tile, held = (i, j), {}
+                part = batch.slice(start, end - start)
+                for size, m in _matrices(part.column(3), part.column(4)).items():
+                    if side == 1 or i == j:
+                        for other in held.get(size, ()):
+                            yield from _over(other, m, threshold, False)
+                    if side == 0:
+                        if i == j:
+                            yield from _over(m, m, threshold, True)
+                        held.setdefault(size, []).append(m)
+
+    return sent.mapInArrow(run, "a long, b long, similarity double")
 
 
 def threshold_clusters(rows: DataFrame, threshold: float, order: list[str], id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:

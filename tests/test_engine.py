@@ -104,9 +104,15 @@ def test_similar_pairs_over_many_blocks(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    got = {(r["a"], r["b"]) for r in D.similar_pairs(rows, 0.6, block_rows=7).collect()}
-    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] >= 0.6}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] >= 0.6}
+    for kind in ("float", "double"):
+        odd = [(90, None), (91, []), (92, [1.0]), (93, [1.0]), (94, [float("nan")] * 8), (95, [None] + [1.0] * 7)]
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + odd, f"vec_id long, embedding array<{kind}>")
+        for blocks in (None, 1, 9):
+            got = [(r["a"], r["b"]) for r in D.similar_pairs(rows, 0.6, blocks=blocks).collect()]
+            assert len(got) == len(set(got)) and set(got) == want | {(92, 93)}
+    assert D.similar_pairs(rows.limit(0), 0.6).count() == 0
+    assert D.block_count(10**8, 512, 4, 8) == 3052 and D.block_count(60, 8, 4, 8) == 1 and D.block_count(5000, 64, 4, 8) == 5
 
 
 def test_components_and_index(spark):
