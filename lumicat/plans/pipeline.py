@@ -23,6 +23,7 @@ from lumicat.operators import naming as N
 from lumicat.operators.graph import global_index
 from lumicat.scratch import discard, materialise
 from lumicat.sources import files, outputs, sidecar
+from lumicat.sources.exif import with_exif
 from lumicat.sources.images import read_rasters
 from lumicat.store import Catalog
 
@@ -100,15 +101,14 @@ def ready(rows: DataFrame, same_content: bool = True) -> tuple[DataFrame, dict[s
 
 
 def ingest(catalog: Catalog, cfg: RunConfig, exif: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
-    """Walk, identify, look up cameras and upsert. ``exif`` adds the metadata columns; without it they are null."""
+    """Walk, identify, look up cameras and upsert. ``exif`` adds the metadata columns; without it they are read from the files' EXIF directories.
+
+    Files without a make are counted as no_exif and catalogued with nulls.
+    """
     found = files.ingestible(files.paths(catalog.spark, cfg.source, prune=cfg.output))
     facts = materialise(files.facts(found), "facts")
     good = facts.where("error IS NULL")
-    if exif is not None:
-        good = exif(good)
-    else:
-        kinds = {"make": "string", "model": "string", "capture_time_unix_seconds": "long", "width": "int", "height": "int", "exif_orientation": "int"}
-        good = good.select("*", *(F.lit(None).cast(t).alias(n) for n, t in kinds.items()))
+    good = materialise((exif or with_exif)(good), "exif")
     cameras = catalog.spark.createDataFrame(list(C.CAMERAS), "make string, model string, slug string")
     looked_up = K.camera_lookup(good, cameras).withColumn("ingested_at_unix_seconds", F.lit(cfg.now).cast("long"))
     rows = looked_up.select(
@@ -120,8 +120,10 @@ def ingest(catalog: Catalog, cfg: RunConfig, exif: Callable[[DataFrame], DataFra
     counts = count_by(outcomes, "outcome") | {"errors": facts.where("error IS NOT NULL AND error <> 'zero_bytes'").count(), "zero_bytes": facts.where("error = 'zero_bytes'").count()}
     unknown = K.unknown_cameras(looked_up).agg(F.sum("n").alias("n")).first()["n"]
     anomalous = good.where(S.mtime_anomalous(F.col("mtime"))).count()
+    no_exif = good.where("make IS NULL").count()
     catalog.commit({"photos": after})
-    return counts | {"unknown_camera": unknown or 0, "mtime_anomalous": anomalous}
+    discard(facts, good)
+    return counts | {"no_exif": no_exif, "unknown_camera": unknown or 0, "mtime_anomalous": anomalous}
 
 
 def score(catalog: Catalog, cfg: RunConfig, scorer: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
@@ -275,7 +277,7 @@ def run(catalog: Catalog, cfg: RunConfig, scorer, embedder, decode, exif=None, t
     check_folders(cfg.source, cfg.output)
     guards = ["file_missing", "derive_failed", "content_changed"]
     stages = {
-        "ingest": (lambda: ingest(catalog, cfg, exif), ["errors", "unknown_camera", "mtime_anomalous"], ["inserted", "already_catalogued", "superseded_previous"]),
+        "ingest": (lambda: ingest(catalog, cfg, exif), ["errors", "no_exif", "unknown_camera", "mtime_anomalous"], ["inserted", "already_catalogued", "superseded_previous"]),
         "score": (lambda: score(catalog, cfg, scorer), ["rejected", "derive_failed"], []),  # files that are gone or changed are the user's doing
         "dedup": (lambda: dedup(catalog, cfg, embedder), ["rejected", *guards], []),
         "develop": (lambda: develop(catalog, cfg), ["failed", *guards], []),

@@ -419,3 +419,56 @@ def test_labels_argument():
     for bad in (("", "Green"), ("Red", "\u2003"), ("x", " x"), ("a\x07", "b"), ("a", "\ufffe")):
         with pytest.raises(ValueError):
             P.labels_arg(*bad)
+
+
+def tiff(main, inner=None, order="<"):
+    """A TIFF header with one directory of (tag, kind, value), and the EXIF directory it names."""
+    import struct
+
+    def directory(at, entries):
+        body, rest = b"", b""
+        for tag, kind, value in entries:
+            raw = value.encode() + b"\0" if kind == 2 else struct.pack(order + {3: "H", 4: "I"}[kind], value)
+            if len(raw) > 4:
+                slot, rest = struct.pack(order + "I", at + 2 + 12 * len(entries) + 4 + len(rest)), rest + raw
+            else:
+                slot = raw.ljust(4, b"\0")
+            body += struct.pack(order + "HHI", tag, kind, len(raw) if kind == 2 else 1) + slot
+        return struct.pack(order + "H", len(entries)) + body + b"\0" * 4 + rest
+
+    head = {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(order + "I", 8)
+    if inner is None:
+        return head + directory(8, main)
+    size = len(directory(8, [*main, (0x8769, 4, 0)]))
+    return head + directory(8, [*main, (0x8769, 4, 8 + size)]) + directory(8 + size, inner)
+
+
+def test_exif(spark, tmp_path):
+    import struct
+
+    from lumicat.sources import exif
+
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    camera = [(0x010F, 2, "Canon"), (0x0110, 2, "EOS R8 "), (0x0112, 3, 6)]
+    shot = [(0x9003, 2, "2020:01:02 03:04:05"), (0x9011, 2, "+01:00"), (0xA002, 4, 6000), (0xA003, 3, 4000)]
+    moov = box(b"moov", box(b"uuid", bytes(16) + box(b"CMT1", tiff(camera, order=">")) + box(b"CMT2", tiff(shot))))
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xe1" + struct.pack(">H", 8 + len(tiff(camera, shot, ">"))) + b"Exif\0\0" + tiff(camera, shot, ">")
+    files_ = {
+        "a.cr3": box(b"ftyp", b"crx isom") + moov + box(b"mdat", b"x" * 99), "b.dng": tiff(camera, shot), "c.jpg": jpeg,
+        "d.dng": tiff([(0x010F, 2, " "), (0x0110, 2, "X")]), "e.dng": tiff([(0x010F, 2, "Acme"), (0x0112, 3, 9), (0x0100, 4, 0), (0x0132, 2, "0000:00:00 00:00:00")]),
+        "f.cr3": b"\0" * 300, "g.cr3": box(b"ftyp", b"crx isom") + moov[:60], "h.jpg": b"\xff\xd8\xff\xd9", "i.dng": b"II*\0\xff\xff\xff\xff", "j.dng": b"",
+    }
+    for name, data in files_.items():
+        (tmp_path / name).write_bytes(data)
+    rows = spark.createDataFrame([(str(tmp_path / n),) for n in [*files_, "gone"]], "source_path string")
+    got = {os.path.basename(r[0]): tuple(r)[1:] for r in exif.with_exif(rows).collect()}
+    full = ("Canon", "EOS R8", 1577930645, 6000, 4000, 6, None)
+    assert got["a.cr3"] == got["b.dng"] == got["c.jpg"] == full
+    assert got["e.dng"] == ("Acme", None, None, None, None, None, None) and got["d.dng"] == (None,) * 6 + ("no make",)
+    assert all(got[n][:6] == (None,) * 6 and got[n][6] for n in ("f.cr3", "g.cr3", "h.jpg", "i.dng", "j.dng", "gone"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.cr3").write_bytes(files_["a.cr3"])
+    with Catalog(spark, str(tmp_path / "catalog")) as c:
+        counts = P.ingest(c, P.RunConfig(str(tmp_path / "in"), str(tmp_path / "out"), 1))
+        assert counts["inserted"] == 1 and counts["no_exif"] == 0 and counts["unknown_camera"] == 0
+        assert [r["camera_slug"] for r in c.read("photos").collect()] == ["canon-r8"]
