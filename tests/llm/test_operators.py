@@ -736,17 +736,28 @@ def test_shards_are_even(spark, tmp_path, kinds):
 # --- pipeline ----------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, tmp_path):
+@pytest.mark.parametrize("clash", [False, True])
+def test_pipeline(spark, tmp_path, clash):
     import corpus_pipeline
 
     rows = odd_rows()
-    docs(spark, rows, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    docs(spark, rows, clash).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(bench_rows(), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, str(tmp_path))
-        assert d.dtypes == docs(spark, rows, clash=False).dtypes, name
+        assert d.dtypes == docs(spark, rows, clash).dtypes, name
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {r["doc_id"] for r in out} <= {r[0] for r in rows}
     assert sorted(Counter(r["doc_id"] for r in out).values())[-1] <= 6
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark, [], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "shard", "slot"} <= set(out.columns)
