@@ -50,8 +50,13 @@ def embedding_rows(photos: DataFrame, embeddings: DataFrame, model: str, key: st
 
 
 def one_per_id(batch: DataFrame) -> DataFrame:
-    """The row of the least path of each id: the others of a batch are catalogued already when they come."""
-    w = Window.partitionBy("id").orderBy("source_path", "ingested_at_unix_seconds")
+    """The row of the least path of each id: the others of a batch are catalogued already when they come.
+
+    As in SQL, a row without a path comes after those with one. Equal paths are told apart by time, then by the other columns, so that reruns agree.
+    """
+    order = ["source_path", "ingested_at_unix_seconds"]
+    order += [c for c in batch.columns if c not in ("id", *order)]
+    w = Window.partitionBy("id").orderBy(*(F.asc_nulls_last(c) for c in order))
     return batch.withColumn("nth", F.row_number().over(w))
 
 

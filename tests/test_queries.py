@@ -46,3 +46,26 @@ def test_entry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def held_against_sql(spark, name, folder, rows=None):
+    """Holds a query against its SQL over the folder, whose documents are made of rows (doc_id, text, source), if given."""
+    c = duckdb.connect()
+    if rows is not None:
+        c.execute("CREATE TABLE made (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+        c.executemany("INSERT INTO made VALUES (?, ?, 'en', ?, 1)", rows)
+        c.execute(f"COPY made TO '{folder}/documents.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for t in ("labels", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = Q.QUERIES[name](spark, str(folder))
+    want = c.sql(f"SELECT {', '.join(got.columns)} FROM ({Q.ORACLES[name]})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+#: Document 3 is a copy of 0, so that the moved 5 has no path; 7 has the same text.
+PATHLESS = [(0, "a", "s"), (3, "a", "s"), (5, "b", "s"), (7, "b", "s"), (8, "c", None), (11, "c", "s"), (12, "a", None)]
+
+
+def test_catalog_after_upsert_without_paths(spark, tmp_path):
+    held_against_sql(spark, "catalog_after_upsert", tmp_path, PATHLESS)
