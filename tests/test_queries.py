@@ -69,3 +69,7 @@ PATHLESS = [(0, "a", "s"), (3, "a", "s"), (5, "b", "s"), (7, "b", "s"), (8, "c",
 
 def test_catalog_after_upsert_without_paths(spark, tmp_path):
     held_against_sql(spark, "catalog_after_upsert", tmp_path, PATHLESS)
+
+
+def test_upsert_outcomes_without_times(spark, tmp_path):
+    held_against_sql(spark, "upsert_outcomes", tmp_path, [*PATHLESS, (13, "f", None), (14, None, None), (None, "d", "s"), (None, "e", None)])
