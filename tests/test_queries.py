@@ -63,6 +63,7 @@ def held_against_sql(spark, name, folder, rows=None):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+MORE = "/root/testdata/sf0.01"
 #: Document 3 is a copy of 0, so that the moved 5 has no path; 7 has the same text.
 PATHLESS = [(0, "a", "s"), (3, "a", "s"), (5, "b", "s"), (7, "b", "s"), (8, "c", None), (11, "c", "s"), (12, "a", None)]
 
@@ -73,3 +74,11 @@ def test_catalog_after_upsert_without_paths(spark, tmp_path):
 
 def test_upsert_outcomes_without_times(spark, tmp_path):
     held_against_sql(spark, "upsert_outcomes", tmp_path, [*PATHLESS, (13, "f", None), (14, None, None), (None, "d", "s"), (None, "e", None)])
+
+
+def test_upsert_outcomes_at_a_hundredth(spark):
+    held_against_sql(spark, "upsert_outcomes", MORE)
+
+
+def test_upsert_outcomes_of_repeated_ids(spark, tmp_path):
+    held_against_sql(spark, "upsert_outcomes", tmp_path, [(3, "a", "s"), (3, "b", "s"), (3, "c", "t"), (5, "d", "s"), (5, "e", "s"), (51, "f", "t"), (51, "g", None)])
