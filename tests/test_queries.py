@@ -82,3 +82,7 @@ def test_upsert_outcomes_at_a_hundredth(spark):
 
 def test_upsert_outcomes_of_repeated_ids(spark, tmp_path):
     held_against_sql(spark, "upsert_outcomes", tmp_path, [(3, "a", "s"), (3, "b", "s"), (3, "c", "t"), (5, "d", "s"), (5, "e", "s"), (51, "f", "t"), (51, "g", None)])
+
+
+def test_catalog_after_upsert_at_a_hundredth(spark):
+    held_against_sql(spark, "catalog_after_upsert", MORE)
