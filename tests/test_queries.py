@@ -86,3 +86,13 @@ def test_upsert_outcomes_of_repeated_ids(spark, tmp_path):
 
 def test_catalog_after_upsert_at_a_hundredth(spark):
     held_against_sql(spark, "catalog_after_upsert", MORE)
+
+
+def test_catalog_after_upsert_of_copies_without_paths(spark, tmp_path):
+    """The SQL leaves open which of such copies is the old one: here the least doc_id, as in the SQL over a small table in that order."""
+    rows = [(0, "a", None), (3, "a", None), (6, "b", None), (51, "b", None), (102, "c", None), (105, "c", None)]
+    held_against_sql(spark, "catalog_after_upsert", tmp_path, rows)
+    (tmp_path / "documents.parquet").unlink()
+    spark.createDataFrame([(i, t, "en", None, 1) for i, t, _ in reversed(rows)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["catalog_after_upsert"](spark, str(tmp_path)).collect()
+    assert sorted((r[2] for r in got), key=repr) == [1790000000, 1790000000, None]
